@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.llm import exact_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, secrets, sharding, toxicity
+from pairloom.llm import exact_dedup, mixing, near_dedup, pieces, quality_classifier, quality_rules, secrets, sharding, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_secrets": secrets.op7_secrets,
+        "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_sharding": sharding.op9_sharding,
         "op10_mixing": mixing.op10_mixing,
     }
