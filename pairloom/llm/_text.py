@@ -117,10 +117,10 @@ def shingles(row: np.ndarray, word_hash: np.ndarray, n_rows: int, size: int) ->
         begin = np.concatenate([[0], np.cumsum(count)])
         extra = []
         for r in short.tolist():
-            h = np.uint64(count[r])
+            h = np.array([count[r]], np.uint64)
             for x in word_hash[begin[r] : begin[r + 1]]:
-                h = mix64(np.array([h * np.uint64(0x9E3779B97F4A7C15) + x]))[0]
-            extra.append(h)
+                h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + x)
+            extra.append(h[0])
         at, got = np.concatenate([at, short]), np.concatenate([got, np.array(extra, np.uint64)])
     order = np.lexsort((got, at))
     at, got = at[order], got[order]

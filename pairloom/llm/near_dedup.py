@@ -240,5 +240,16 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
+) -> DataFrame:
+    """The rows that stay, with all their columns: of each group the one with the smallest id.
+
+    Ids and ties as in near_duplicates; rows of one id go or stay together."""
+    marked = near_duplicates(docs, id_col, text_col, shingle, percent)
+    gone = marked.groupBy(F.col(f"`{id_col}`").alias("__gone")).agg(F.max("kept").alias("__any")).where("not __any")
+    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
