@@ -10,8 +10,8 @@ again. A pair of similar sets stays together along some path with a good probabi
 become small, and independent trees bring the recall to the target: a pair at 0.8 survives two binary levels of one
 tree with a probability over 0.9, and TREES of them miss it less than once in ten thousand times.
 
-Hot groups: sets that agree in paths of PATH tokens are first linked to the smallest of them, one candidate each, and
-the confirmed links contracted to labels. In the trees only pairs of different labels count. A node with one label is
+Hot groups: of the sets that agree in a path of PATH tokens each is first compared with two of them alone, and the
+confirmed links are contracted to labels. In the trees only pairs of different labels count. A node with one label is
 done, however large; a node counts as small by its number of pairs of different labels, so that a large group of
 copies with a few strangers costs its size times the strangers. No pair within a group has to be listed.
 
@@ -38,10 +38,16 @@ TREES = 4
 #: Children that each node of a level selects; the last holds for all deeper levels.
 BRANCHES = (2, 2, 1)
 #: A node is small if its pairs of different labels are no more than so many times its members.
-PAIRS_PER_MEMBER = 24
+PAIRS_PER_MEMBER = 64
 #: Levels after which what is left is compared anyhow.
 DEPTH = 12
 PATH, PATHS = 4, 8
+#: Pieces of a path's sets that get a hub of their own.
+SALTS = 16
+#: The smallest hashes of a set that are kept to compare sets of crowded nodes by; smaller sets are kept whole.
+LOWEST = 256
+#: Pairs of different labels from which on a node is crowded.
+CROWD = 2000
 #: Candidate ids that are sent to every executor (8 bytes each); beyond, texts are joined with them by a shuffle.
 SENT_IDS = 4_000_000
 
@@ -68,13 +74,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             bits = (two << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
             flat = pa.array(tokens.view(np.int32).reshape(-1))
             edges = pa.array((np.arange(n + 1) * T).astype(np.int32))
+            # hashes are sorted within a row: its first ones are its smallest
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            low = nth < LOWEST
+            small = pa.array(((got[low] >> np.uint64(32)) ^ np.uint64(0x80000000)).astype(np.uint32).view(np.int32))
+            until = pa.array(np.concatenate([[0], np.cumsum(np.minimum(count, LOWEST))]).astype(np.int32))
             cols = [part.column(0), pa.array(count), *(pa.array(digest[:, k].copy()) for k in (0, 1))]
-            cols += [*(pa.array(bits[:, k].copy()) for k in range(4)), pa.ListArray.from_arrays(edges, flat)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s0", "s1", "b0", "b1", "b2", "b3", "mh"])
+            cols += [*(pa.array(bits[:, k].copy()) for k in range(4)), pa.ListArray.from_arrays(edges, flat), pa.ListArray.from_arrays(until, small)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "s0", "s1", "b0", "b1", "b2", "b3", "mh", "low"])
 
 
 _BITS = ("b0", "b1", "b2", "b3")
-_SKETCH = "id long, n long, s0 long, s1 long, b0 long, b1 long, b2 long, b3 long, mh array<int>"
+_SKETCH = "id long, n long, s0 long, s1 long, b0 long, b1 long, b2 long, b3 long, mh array<int>, low array<int>"
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,16 +140,27 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def _stars(reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates: each set with the smallest that shares a path of PATH minwise tokens, for PATHS paths."""
+    """Candidates: each set with two hubs of its path of PATH minwise tokens, for PATHS paths.
+
+    The sets of a path are dealt to SALTS pieces by a hash of their id. The smallest id of each piece is a hub; a set
+    meets the smallest hub of all and that of the next piece there is, so that one odd hub doesn't part a group.
+    """
     path = lambda p: F.xxhash64(F.lit(p), *[F.element_at("mh", p * PATH + i + 1) for i in range(PATH)])
     keyed = reps.select("id", "n", *_BITS, F.explode(F.array(*[path(p) for p in range(PATHS)])).alias("key"))
-    hub = F.struct("id", "n", *_BITS)
-    hubs = keyed.groupBy("key").agg(F.min(hub).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    hubs = hubs.select("key", *[F.col(f"h.{c}").alias(c) for c in ("id", "n", *_BITS)])
-    return (
-        keyed.alias("x").join(hubs.alias("h"), (F.col("x.key") == F.col("h.key")) & (F.col("h.id") < F.col("x.id")) & _alike("x", "h", percent))
-        .select(F.col("h.id").alias("a"), F.col("x.id").alias("b"))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)).cast("int"))
+    hub = F.min(F.struct("id", "n", *_BITS)).alias("h")
+    pieces = keyed.groupBy("key", "salt").agg(hub, F.count(F.lit(1)).alias("c"))
+    hubs = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("salt", "h"))).alias("hs"), F.sum("c").alias("c")).where("c > 1")
+    size = F.size("hs")
+    least = F.array_min(F.transform("hs", lambda x: x["h"]))
+    for_piece = F.transform(
+        "hs", lambda x, i: F.struct(x["salt"].alias("salt"), F.array_distinct(F.array(least, F.get("hs", (i + 1) % size)["h"])).alias("to"))
     )
+    hubs = hubs.select("key", F.inline(for_piece)).select("key", "salt", F.explode("to").alias("h"))
+    hubs = hubs.select("key", "salt", *[F.col(f"h.{c}").alias(c) for c in ("id", "n", *_BITS)])
+    on = (F.col("x.key") == F.col("h.key")) & (F.col("x.salt") == F.col("h.salt")) & (F.col("h.id") != F.col("x.id"))
+    met = keyed.alias("x").join(hubs.alias("h"), on & _alike("x", "h", percent))
+    return met.select(F.least("h.id", "x.id").alias("a"), F.greatest("h.id", "x.id").alias("b"))
 
 
 def _children(level: int, key: Column, mh: Column) -> Column:
@@ -150,12 +172,54 @@ def _children(level: int, key: Column, mh: Column) -> Column:
     return F.array_distinct(F.array(*out))
 
 
-def _trees(reps: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the trees. reps: id, n, bits, mh, label."""
+def _low_alike(a: str, b: str, percent: int) -> Column:
+    """True unless the smallest hashes of two sets say that they can't reach the threshold.
+
+    What the lists hold up to the smaller of their ends is a sample of both sets, and of sets that are kept whole it is
+    all. The bound is four standard deviations of a sample without replacement below the threshold."""
+    x, y = F.col(f"{a}.low"), F.col(f"{b}.low")
+    end = lambda side, c: F.when(F.col(f"{side}.n") > LOWEST, F.element_at(c, -1)).otherwise(F.lit(2**31 - 1))
+    limit = F.least(end(a, x), end(b, y))
+    common = F.size(F.array_intersect(x, y))
+    upto = lambda c: F.size(F.filter(c, lambda v: v <= limit))
+    seen = upto(x) + upto(y) - common
+    p = percent / 100
+    whole = (F.col(f"{a}.n") + F.col(f"{b}.n")) / (1 + p)
+    part = F.greatest(F.lit(0.0), F.lit(1.0) - seen / whole)
+    slack = 0.01 + 4 * F.sqrt(part * (p * (1 - p)) / seen)
+    both = F.size(x) + F.size(y)
+    exact = (F.col(f"{a}.n") <= LOWEST) & (F.col(f"{b}.n") <= LOWEST)
+    return F.when(exact, common * (1 + p - 0.01) >= both * (p - 0.01)).otherwise(common >= seen * (F.lit(p) - slack))
+
+
+def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of table with one of the ids."""
+    ids = materialise(ids.select("id").distinct())
+    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return table.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _meetings(small: DataFrame, extra: bool, percent: int) -> DataFrame:
+    """Pairs of small nodes: strangers against the largest label, and strangers among themselves."""
+    rest = small.where("label <> major")
+    found = None
+    for k, right in enumerate((small.where("label = major"), rest)):
+        x, y = rest.alias("x"), right.alias("y")
+        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent)
+        on = on & (F.col("x.id") < F.col("y.id")) if k else on
+        on = on & _low_alike("x", "y", percent) if extra else on
+        met = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
+def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Candidates of the trees. reps: id, n, bits, mh; labels: id, label, of those that aren't their own; rows: id, low."""
     held = ["id", "n", *_BITS, "label"]
-    roots = F.explode(F.array(*[F.xxhash64(F.lit(-1 - t)) for t in range(TREES)])).alias("key")
-    members = reps.select(*held, "mh", roots).select(*held, F.explode(_children(0, F.col("key"), F.col("mh"))).alias("key"))
-    found = []
+    root = F.flatten(F.array(*[_children(0, F.xxhash64(F.lit(-1 - t)), F.col("mh")) for t in range(TREES)])).alias("keys")
+    members = reps.select("id", "n", *_BITS, root).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    members = members.select(*held, F.explode("keys").alias("key"))
+    tokens, smalls = reps.select("id", "mh"), None
     for level in range(1, DEPTH + 1):
         by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         nodes = by_label.groupBy("key").agg(
@@ -165,28 +229,21 @@ def _trees(reps: DataFrame, percent: int) -> DataFrame:
             F.max(F.struct("c", "label")).getField("label").alias("major"),
         ).where("labels > 1")
         pairs = (F.col("m").cast("double") * F.col("m") - F.col("sq")) / 2
-        nodes = nodes.select("key", "major", (pairs <= F.col("m") * PAIRS_PER_MEMBER).alias("small"))
+        is_small = (pairs <= F.col("m") * PAIRS_PER_MEMBER) | F.lit(level == DEPTH)
+        nodes = nodes.select("key", "major", is_small.alias("small"), (pairs > CROWD).alias("crowd"))
         members = materialise(members.join(nodes, "key"))
-        small = members if level == DEPTH else members.where("small")
-        rest = small.where("label <> major")
-        # strangers against the largest label, and strangers among themselves
-        sides = [(rest, small.where("label = major")), (rest, rest)]
-        for k, (left, right) in enumerate(sides):
-            x, y = left.alias("x"), right.alias("y")
-            on = (F.col("x.key") == F.col("y.key")) & _alike("x", "y", percent) & (F.col("x.label") != F.col("y.label"))
-            if k:
-                on = on & (F.col("x.id") < F.col("y.id"))
-            found.append(x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
-        large = members.where(~F.col("small")).select(*held, "key")
+        small = members.where("small")
+        smalls = small if smalls is None else smalls.unionByName(small)
+        large = members.where("not small").select(*held, "key")
         if level == DEPTH or large.isEmpty():
             break
-        tokens = reps.select(F.col("id").alias("__id"), "mh")
-        large = large.join(tokens, F.col("id") == F.col("__id")).select(*held, F.explode(_children(level, F.col("key"), F.col("mh"))).alias("key"))
+        # only the tokens of what is left go on to the next level
+        tokens = materialise(_of(tokens, large))
+        large = large.join(tokens, "id").select(*held, F.explode(_children(level, F.col("key"), F.col("mh"))).alias("key"))
         members = materialise(large.distinct())
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    crowd = smalls.where("crowd")
+    low = _of(rows.select("id", "n", "low"), crowd).groupBy("id").agg(F.max_by("low", "n").alias("low"))
+    return _meetings(smalls.where("not crowd"), False, percent).unionByName(_meetings(crowd.join(low, "id"), True, percent))
 
 
 def near_duplicates(
@@ -212,12 +269,8 @@ def near_duplicates(
     ).select("n", "s0", "s1", *[F.col(f"r.{c}").alias(c) for c in ("id", *_BITS, "mh")])
     reps = materialise(reps)
     first = _confirm(_stars(reps, percent), texts, shingle, percent)
-    labels = components(first).select(F.col("a").alias("__a"), F.col("b").alias("label"))
-    reps2 = materialise(
-        reps.join(labels, F.col("id") == F.col("__a"), "left")
-        .select("id", "n", *_BITS, "mh", F.coalesce("label", "id").alias("label"))
-    )
-    second = _confirm(_trees(reps2, percent), texts, shingle, percent)
+    labels = components(first).select(F.col("a").alias("id"), F.col("b").alias("label"))
+    second = _confirm(_trees(reps, labels, rows, percent), texts, shingle, percent)
     whole = components(first.unionByName(second)).select(F.col("a").alias("__a"), F.col("b").alias("__c"))
     sets = one_set.join(whole, F.col("rep") == F.col("__a"), "left").select(
         "n", "s0", "s1", F.coalesce("__c", "rep").alias("component")

@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,9 @@ from pairloom.llm._common import table
 from pairloom.llm._text import split_batch
 
 SPACE = "▁"
-#: Words whose pieces a worker remembers; beyond that it forgets all and starts anew.
-CACHE_WORDS = 200_000
+#: Words whose pieces a worker remembers, in each of two halves, and the longest such word.
+CACHE_WORDS = 250_000
+CACHE_CHARS = 64
 #: Bytes of text in one result batch.
 PART_BYTES = 1 << 20
 
@@ -155,37 +156,50 @@ class Encoder:
         spec.add_dummy_prefix = spec.remove_extra_whitespaces = spec.escape_whitespaces = False
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.end = [self.library.eos_id()] if add_eos else []
-        self.cache: dict[str, list[int]] = {}
+        # the ids of a word as bytes; when the younger half is full it becomes the older one
+        self.cache: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.words = re.compile(f"{SPACE}*[^{SPACE}]*")
 
-    def _segment(self, text: str) -> list[int]:
+    def _segment(self, text: str) -> np.ndarray:
         if not self.by_word:
-            return self.segmenter.encode(text, num_threads=1)
+            return np.array(self.segmenter.encode(text, num_threads=1), np.int32)
         words = self.words.findall(text)
-        cache = self.cache
-        if new := list({w for w in words if w not in cache and w}):
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list({w for w in words if w})
-            cache.update(zip(new, self.segmenter.encode(new, num_threads=1), strict=True))
-        return list(chain.from_iterable([cache[w] for w in words if w]))
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
+        new = set(words).difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.older, self.cache = self.cache, {"": b""}
+            new = set(words).difference(self.cache)
+        cache, older = self.cache, self.older
+        known = new.intersection(older)
+        cache.update({w: older[w] for w in known})
+        if ask := list(new.difference(known)):
+            pieces = self.segmenter.encode(ask, num_threads=1)
+            cache.update(zip(ask, [array("i", ids).tobytes() for ids in pieces], strict=True))
+        out = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32)
+        for w in ask:
+            if len(w) > CACHE_CHARS:
+                del cache[w]
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and the first and the end byte in the text of each; an end id stands at the text's end."""
         raw = text.encode()
         normal, origin = self.normalize(raw)
         segmented = normal.decode()
         ids = self._segment(segmented)
-        sizes = self.lengths[ids] if ids else np.zeros(0, np.int64)
-        if self.unknown in ids:
+        sizes = self.lengths[ids]
+        if (ids == self.unknown).any():
             surface = self.segmenter.encode(segmented, out_type=str, num_threads=1)
             sizes = np.array([len(p.encode()) if i == self.unknown else n for p, i, n in zip(surface, ids, sizes, strict=True)])
-        edge = np.concatenate([[0], np.cumsum(sizes)])
+        edge = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=edge[1:])
         if edge[-1] != len(normal):
             raise ValueError("the pieces don't tile the normalised text")
-        at = origin[edge]
-        tail = [len(raw)] * len(self.end)
-        return ids + self.end, np.concatenate([at[:-1], tail]), np.concatenate([at[1:], tail])
+        at = origin[edge].astype(np.int32)
+        if self.end:
+            tail = np.array([len(raw)], np.int32)
+            return np.append(ids, np.int32(self.end[0])), np.append(at[:-1], tail), np.append(at[1:], tail)
+        return ids, at[:-1], at[1:]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -230,13 +244,10 @@ def encode(
             for part in split_batch(batch, 1, PART_BYTES):
                 got = [enc.encode(t or "") for t in part.column(1).to_pylist()]
                 edges = np.concatenate([[0], np.cumsum([len(g[0]) for g in got])]).astype(np.int32)
-                flat = [
-                    pa.array(np.fromiter(chain.from_iterable(g[0] for g in got), np.int32, int(edges[-1]))),
-                    *(pa.array(np.concatenate([g[k] for g in got]).astype(np.int32)) for k in (1, 2)),
-                ]
+                flat = [pa.array(np.concatenate([g[k] for g in got])) for k in range(3)]
                 cols = [part.column(0), *(pa.ListArray.from_arrays(pa.array(edges), x).cast(ints) for x in flat)]
                 if decoded:
-                    cols.append(pa.array([enc.decode(g[0]) for g in got], pa.string()))
+                    cols.append(pa.array([enc.decode(g[0].tolist()) for g in got], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "starts", "ends", "decoded"][: len(cols)])
 
     typed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
