@@ -189,7 +189,10 @@ def _low_alike(a: str, b: str, percent: int) -> Column:
     slack = 0.01 + 4 * F.sqrt(part * (p * (1 - p)) / seen)
     both = F.size(x) + F.size(y)
     exact = (F.col(f"{a}.n") <= LOWEST) & (F.col(f"{b}.n") <= LOWEST)
-    return F.when(exact, common * (1 + p - 0.01) >= both * (p - 0.01)).otherwise(common >= seen * (F.lit(p) - slack))
+    # else one list at least is whole below the limit: what the bound asks for at the smallest sample rejects most pairs
+    least = LOWEST * (p - 0.01 - 4 * (p * (1 - p) / LOWEST) ** 0.5)
+    sampled = (common >= F.lit(least)) & (common >= seen * (F.lit(p) - slack))
+    return F.when(exact, common * (1 + p - 0.01) >= both * (p - 0.01)).otherwise(sampled)
 
 
 def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -239,7 +242,10 @@ def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int) ->
             break
         # only the tokens of what is left go on to the next level
         tokens = materialise(_of(tokens, large))
-        large = large.join(tokens, "id").select(*held, F.explode(_children(level, F.col("key"), F.col("mh"))).alias("key"))
+        # a set meets its tokens once, however many nodes hold it
+        large = large.groupBy("id").agg(F.collect_set(F.struct(*held[1:], "key")).alias("__in"))
+        large = large.join(tokens, "id").select("id", "mh", F.inline("__in"))
+        large = large.select(*held, F.explode(_children(level, F.col("key"), F.col("mh"))).alias("key"))
         members = materialise(large.distinct())
     crowd = smalls.where("crowd")
     low = _of(rows.select("id", "n", "low"), crowd).groupBy("id").agg(F.max_by("low", "n").alias("low"))
