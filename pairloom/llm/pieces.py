@@ -170,7 +170,8 @@ class Encoder:
             self.older, self.cache = self.cache, {"": b""}
             new = set(words).difference(self.cache)
         cache, older = self.cache, self.older
-        known = new.intersection(older)
+        # a set's intersection with a dict would walk the whole dict
+        known = {w for w in new if w in older}
         cache.update({w: older[w] for w in known})
         if ask := list(new.difference(known)):
             pieces = self.segmenter.encode(ask, num_threads=1)
