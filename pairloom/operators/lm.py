@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.features import perplexity
-from pairloom.functions.text import word_array
+from pairloom.functions.text import bound, word_array
 
 #: Words that the rank table may have; its size is bounded by it, so it may be sent to every executor.
 VOCABULARY = 100_000
@@ -46,11 +46,12 @@ def rank_quantile_ratio(pairs: DataFrame, keys: list[str], ranks: DataFrame, q:
 def ngram_counts(texts: DataFrame, text_col: str, order: int) -> DataFrame:
     """(gram, n) of one order, with marks at a text's start and end."""
     marked = F.concat(F.array(F.lit("<s>")), word_array(F.lower(F.col(text_col))), F.array(F.lit("</s>")))
-    grams = F.when(
-        F.size(marked) >= order,
-        F.transform(F.sequence(F.lit(1), F.size(marked) - (order - 1)), lambda i: F.array_join(F.slice(marked, i, order), " ")),
-    )
-    return texts.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (order - 1)), lambda i: F.array_join(F.slice(w, i, order), " "))
+        return F.when(F.size(w) >= order, each)
+
+    return texts.select(F.explode(bound(marked, grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def log_probabilities(texts: DataFrame, keys: list[str], text_col: str, corpus: DataFrame | None = None) -> DataFrame:
@@ -94,10 +95,14 @@ def simplicity(features: dict[str, Column], model: dict[str, list[float]]) -> Co
 
     def place(c: Column, cuts: list[float]) -> Column:
         table = F.array(*[F.lit(float(x)) for x in cuts])
-        below = F.size(F.filter(table, lambda x: x < -c))
-        low, high = F.get(table, below - 1), F.get(table, below)
-        inside = (below - 1) + F.coalesce(F.try_divide(-c - low, high - low), F.lit(0.0))
-        return F.when(below == 0, 0.0).when(below > QUANTILES, 1.0).otherwise(inside / QUANTILES)
+
+        def at(v: Column) -> Column:
+            below = F.size(F.filter(table, lambda x: x < v))
+            low, high = F.get(table, below - 1), F.get(table, below)
+            inside = (below - 1) + F.coalesce(F.try_divide(v - low, high - low), F.lit(0.0))
+            return F.when(below == 0, 0.0).when(below > QUANTILES, 1.0).otherwise(inside / QUANTILES)
+
+        return bound(-c, at)
 
     parts = [place(c, model[n]) for n, c in features.items()]
     out = parts[0]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.features import interval_text, t_quantile
-from pairloom.functions.text import syllables, truncate, word_array
+from pairloom.functions.text import bound, syllables, truncate, word_array
 
 
 def last_runs(runs: DataFrame, group: Sequence[str], order: str, keep: int = 5, whole: Sequence[int] = (8, 10)) -> DataFrame:
@@ -45,14 +45,13 @@ def fkgl(sentences: DataFrame, text_col: str, group: Sequence[str]) -> DataFrame
 
 def ngrams(words: Column, top: int = 4) -> Column:
     """array<struct<n,gram>> of all n-grams, n from 1 to top."""
-    one = lambda n: F.when(
-        F.size(words) >= n,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words) - (n - 1)),
-            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i, n), " ").alias("gram")),
-        ),
-    ).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-    return F.flatten(F.array(*[one(n) for n in range(1, top + 1)]))
+
+    def one(w: Column, n: int) -> Column:
+        gram = lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram"))
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), gram)
+        return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
+
+    return bound(words, lambda w: F.flatten(F.array(*[one(w, n) for n in range(1, top + 1)])))
 
 
 def gram_counts(rows: DataFrame, keys: Sequence[str], sides: Sequence[str], top: int = 4) -> DataFrame:
