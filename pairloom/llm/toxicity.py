@@ -28,6 +28,8 @@ ORDERS = (3, 4, 5, 6)
 #: Labelled rows that are learnt from, at most.
 MAX_ROWS = 40_000
 MIN_ROWS = 3
+#: Bytes of text whose n-grams are held at once.
+PART_BYTES = 1 << 20
 MIN_RATIO = 1.0
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -113,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         seen = np.zeros((2, BUCKETS), np.int64)
         rows = np.zeros(2, np.int64)
         for batch in batches:
-            for part in split_batch(batch, 1):
+            for part in split_batch(batch, 1, PART_BYTES):
                 label = (part.column(0).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
                 rows += np.bincount(label, minlength=2)
                 row, bucket = features(*columns(part, 1), None, orders)
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in split_batch(batch, 1):
+            for part in split_batch(batch, 1, PART_BYTES):
                 row, found = features(*columns(part, 1), active, orders)
                 edges = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.int32)))
@@ -169,7 +171,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         weights[sent] = value
         active = weights != 0
         for batch in batches:
-            for part in split_batch(batch, 1):
+            for part in split_batch(batch, 1, PART_BYTES):
                 row, found = features(*columns(part, 1), active, orders)
                 z = np.bincount(row, weights[found], part.num_rows) + b
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_learn.sigmoid(z))], names=["id", "score"])
@@ -190,7 +192,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
         weights[sent] = value
         active = weights != 0
         for batch in batches:
-            for part in split_batch(batch, place):
+            for part in split_batch(batch, place, PART_BYTES):
                 row, found = features(*columns(part, place), active, orders)
                 z = np.bincount(row, weights[found], part.num_rows) + b
                 yield part.filter(pa.array(_learn.sigmoid(z) < threshold))
