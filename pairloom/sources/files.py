@@ -20,7 +20,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole lines at a time and in order within a file; a file is one partition here, so that the number
     of a line is its place. Offsets of files come from their counts.
     """
-    spark_files = spark.read.option("wholetext", "true").text(path)
+    spark_files = spark.read.text(path, wholetext=True)
     lines = spark_files.select(
         F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("pos", "value")
     )
