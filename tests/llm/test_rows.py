@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm import exact_dedup, mixing, quality_rules, sharding
+from pairloom.llm._common import materialise
 
 from . import cases
 
@@ -37,7 +38,7 @@ def test_measures(spark):
 
 
 def test_rules_keep_labelled_good_texts(spark, sf_dir):
-    out = quality_rules.op3_quality_rules(spark, sf_dir)
+    out = materialise(quality_rules.op3_quality_rules(spark, sf_dir))
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     r = out.join(good, "doc_id").where("not base_failed").agg(F.avg(F.col("kept").cast("int")).alias("k")).first()
     assert r.k >= 0.95
