@@ -6,9 +6,9 @@ their similarity.
 
 Trees: the root holds all sets. A node selects some of the T hash functions, by a hash of its own path, and each set in
 it goes to the child of its minwise token there. A node that is small is compared exhaustively, a larger one branches
-again. A pair of similar sets stays together along some path with a good probability, whatever the depth at which nodes
-become small, and independent trees bring the recall to the target: a pair at 0.8 survives two binary levels of one
-tree with a probability over 0.9, and TREES of them miss it less than once in ten thousand times.
+again, into one child or two by a hash of the node, so that a pair at the threshold shares a little more than one child
+on average at every level. The probability that it stays together falls slowly with the depth at which nodes become
+small; when the depth is known, independent trees are added until MISSED is reached for a pair at the threshold.
 
 Hot groups: of the sets that agree in a path of PATH tokens each is first compared with two of them alone, and the
 confirmed links are contracted to labels. In the trees only pairs of different labels count. A node with one label is
@@ -34,9 +34,14 @@ from pairloom.llm._components import components
 from pairloom.llm._text import columns, mix64, shingles, split_batch, words
 
 T = 128
+#: Trees that are grown first; more follow if the depth they reach asks for them.
 TREES = 4
-#: Children that each node of a level selects; the last holds for all deeper levels.
-BRANCHES = (2, 2, 1)
+#: Levels whose nodes select two children at least.
+BINARY = 2
+#: Children that a pair at the threshold shares at a deeper node, on average.
+SHARED = 1.04
+#: The probability that all trees miss a pair at the threshold, at most.
+MISSED = 1e-3
 #: A node is small if its pairs of different labels are no more than so many times its members.
 PAIRS_PER_MEMBER = 64
 #: Levels after which what is left is compared anyhow.
@@ -163,13 +168,37 @@ def _stars(reps: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("h.id", "x.id").alias("a"), F.greatest("h.id", "x.id").alias("b"))
 
 
-def _children(level: int, key: Column, mh: Column) -> Column:
+def _branches(level: int, percent: int) -> float:
+    """The children that a node of a level selects, on average; the fraction is the share of nodes that select one more."""
+    mean = SHARED * 100 / percent
+    return max(2.0, mean) if level < BINARY else mean
+
+
+def together(depth: int, percent: int) -> float:
+    """The probability that a pair at the threshold shares a node at a depth of one tree, minwise tokens taken as independent."""
+    p = 1.0
+    for level in reversed(range(depth)):
+        mean = _branches(level, percent)
+        apart = 1 - percent / 100 * p
+        p = 1 - apart ** int(mean) * (1 - (mean - int(mean)) * (1 - apart))
+    return p
+
+
+def trees_for(depth: int, percent: int) -> int:
+    apart = 1 - together(depth, percent)
+    return max(TREES, int(np.ceil(np.log(MISSED) / np.log(apart)))) if apart > 0 else TREES
+
+
+def _children(level: int, key: Column, mh: Column, percent: int) -> Column:
     """The keys of the children that a set with the minwise tokens mh goes to."""
+    mean = _branches(level, percent)
+    share = round((mean - int(mean)) * 10_000)
     out = []
-    for j in range(BRANCHES[min(level, len(BRANCHES) - 1)]):
+    for j in range(int(mean) + (share > 0)):
         place = F.pmod(F.xxhash64(key, F.lit(1000 + j)), F.lit(T)).cast("int")
-        out.append(F.xxhash64(key, place, F.get(mh, place)))
-    return F.array_distinct(F.array(*out))
+        child = F.xxhash64(key, place, F.get(mh, place))
+        out.append(child if j < int(mean) else F.when(F.pmod(F.xxhash64(key, F.lit(999)), F.lit(10_000)) < share, child))
+    return F.array_distinct(F.array_compact(F.array(*out)))
 
 
 def _low_alike(a: str, b: str, percent: int) -> Column:
@@ -216,10 +245,11 @@ def _meetings(small: DataFrame, extra: bool, percent: int) -> DataFrame:
     return found
 
 
-def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates of the trees. reps: id, n, bits, mh; labels: id, label, of those that aren't their own; rows: id, low."""
+def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, trees: range) -> tuple[DataFrame, int]:
+    """Candidates of the trees, and their depth. reps: id, n, bits, mh; labels: id, label, of those that aren't their own;
+    rows: id, low."""
     held = ["id", "n", *_BITS, "label"]
-    root = F.flatten(F.array(*[_children(0, F.xxhash64(F.lit(-1 - t)), F.col("mh")) for t in range(TREES)])).alias("keys")
+    root = F.flatten(F.array(*[_children(0, F.xxhash64(F.lit(-1 - t)), F.col("mh"), percent) for t in trees])).alias("keys")
     members = reps.select("id", "n", *_BITS, root).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     members = members.select(*held, F.explode("keys").alias("key"))
     tokens, smalls = reps.select("id", "mh"), None
@@ -245,11 +275,11 @@ def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int) ->
         # a set meets its tokens once, however many nodes hold it
         large = large.groupBy("id").agg(F.collect_set(F.struct(*held[1:], "key")).alias("__in"))
         large = large.join(tokens, "id").select("id", "mh", F.inline("__in"))
-        large = large.select(*held, F.explode(_children(level, F.col("key"), F.col("mh"))).alias("key"))
+        large = large.select(*held, F.explode(_children(level, F.col("key"), F.col("mh"), percent)).alias("key"))
         members = materialise(large.distinct())
     crowd = smalls.where("crowd")
     low = _of(rows.select("id", "n", "low"), crowd).groupBy("id").agg(F.max_by("low", "n").alias("low"))
-    return _meetings(smalls.where("not crowd"), False, percent).unionByName(_meetings(crowd.join(low, "id"), True, percent))
+    return _meetings(smalls.where("not crowd"), False, percent).unionByName(_meetings(crowd.join(low, "id"), True, percent)), level
 
 
 def near_duplicates(
@@ -274,10 +304,14 @@ def near_duplicates(
         F.min(F.struct("id", *_BITS, "mh")).alias("r")
     ).select("n", "s0", "s1", *[F.col(f"r.{c}").alias(c) for c in ("id", *_BITS, "mh")])
     reps = materialise(reps)
-    first = _confirm(_stars(reps, percent), texts, shingle, percent)
-    labels = components(first).select(F.col("a").alias("id"), F.col("b").alias("label"))
-    second = _confirm(_trees(reps, labels, rows, percent), texts, shingle, percent)
-    whole = components(first.unionByName(second)).select(F.col("a").alias("__a"), F.col("b").alias("__c"))
+    links = _confirm(_stars(reps, percent), texts, shingle, percent)
+    grown, need = 0, TREES
+    while grown < need:
+        labels = components(links).select(F.col("a").alias("id"), F.col("b").alias("label"))
+        found, depth = _trees(reps, labels, rows, percent, range(grown, need))
+        links = links.unionByName(_confirm(found, texts, shingle, percent))
+        grown, need = need, max(need, trees_for(depth, percent))
+    whole = components(links).select(F.col("a").alias("__a"), F.col("b").alias("__c"))
     sets = one_set.join(whole, F.col("rep") == F.col("__a"), "left").select(
         "n", "s0", "s1", F.coalesce("__c", "rep").alias("component")
     )
