@@ -23,8 +23,8 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.drop_toxic(docs, model)
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels), toxicity.stage_threshold(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

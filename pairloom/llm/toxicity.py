@@ -200,6 +200,21 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     return docs.mapInArrow(run, docs.schema)
 
 
+def stage_threshold(docs: DataFrame, labels: DataFrame, keep: float = 0.99, folds: int = 3, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> float:
+    """The lowest threshold that leaves the share keep of clean documents, each scored by a model that hasn't seen it:
+    cross-validation on labels outside the held-out fold. 0.5 at most, and where there are no clean documents."""
+    sample = materialise(_learn.sample_labels(labels, label_col, MAX_ROWS, id_col).withColumnRenamed("__lid", id_col).withColumnRenamed("__label", label_col))
+    fold = F.pmod(F.xxhash64(F.lit(11), F.col(f"`{id_col}`")), F.lit(folds))
+    clean = []
+    for k in range(folds):
+        model = train(docs, sample.where(fold != k), label_col, id_col, text_col)
+        held = sample.where((fold == k) & (F.col(label_col) <= 0)).withColumnRenamed(id_col, "__lid").drop(label_col)
+        clean += [r.score for r in score(_learn.labelled(docs, held, id_col), model, id_col, text_col).select("score").collect()]
+    if not clean:
+        return 0.5
+    return min(0.5, float(np.nextafter(np.sort(clean)[int(np.ceil(keep * len(clean))) - 1], 1)))
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = score(docs, train(docs, table(spark, sf_dir, "labels")))
