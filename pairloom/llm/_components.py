@@ -27,12 +27,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b), any order, no nulls, to (a, b): each node but the smallest of its component, with that smallest.
 
-    Each round writes the edges to the shared folder. It ends when a round changes nothing, after about log(n) rounds.
+    Each round writes the edges to the shared folder and deletes those of the round before. It ends when a round changes nothing, after about log(n) rounds.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        now = materialise(_star(_star(now, large=True), large=False))
+        now = materialise(_star(_star(now, large=True), large=False), now)
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(row) == mark:
             return now

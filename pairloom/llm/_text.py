@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at once; a longer text makes a part of its own.
-PART_BYTES = 4 << 20
+#: Bytes of text that are worked on at once. Most arrays hold eight bytes for each, and two workers share an executor.
+PART_BYTES = 512 << 10
 
 
 def columns(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -26,7 +26,7 @@ def columns(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def split_batch(batch: pa.RecordBatch, i: int, limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of the batch with about limit bytes in column i; one row at least."""
+    """Parts of the batch with no more than limit bytes in column i, or one row; see words on a row that is longer."""
     _, ends = columns(batch, i)
     row, done = 0, 0
     while row < batch.num_rows:
@@ -80,11 +80,52 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix64((prefix[end] - prefix[start]) * powers(_BASE, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The hash of one word, as span_hash has it, by pieces."""
+    total = 0
+    for a in range(0, len(data), PART_BYTES):
+        part = data[a : a + PART_BYTES]
+        sum_ = int((BYTE_VALUES[part] * powers(_INVERSE, len(part))).sum(dtype=np.uint64))
+        total += sum_ * pow(int(_INVERSE), a, 1 << 64)
+    return mix64(np.array([(total + len(data)) % (1 << 64)], np.uint64))[0]
+
+
+def cut_places(data: np.ndarray, size: int = PART_BYTES) -> list[int]:
+    """Ends of pieces of a text of about size bytes each: behind a separator, so that no word is cut."""
+    out, a = [], 0
+    while len(data) - a > size:
+        blank = np.flatnonzero(_SEPARATOR[data[a : a + size]])
+        stop = a + int(blank[-1]) + 1 if len(blank) else a + size
+        while not len(blank) and stop < len(data):  # one word is longer than a piece
+            blank = np.flatnonzero(_SEPARATOR[data[stop : stop + size]])
+            stop = stop + int(blank[0]) + 1 if len(blank) else min(len(data), stop + size)
+        out.append(stop)
+        a = stop
+    return out if out and out[-1] == len(data) else [*out, len(data)]
+
+
 def words(data: np.ndarray, ends: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, end, hash) of each word; words are cut at 0x20, 0x09 to 0x0D and the end of a text."""
+    """(row, start, end, hash) of each word; words are cut at 0x20, 0x09 to 0x0D and the end of a text.
+
+    A single long text is read piece by piece: besides the words, no array is larger than a piece."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
+    if len(ends) == 1 and len(data) > PART_BYTES:
+        parts, a = [], 0
+        for b in cut_places(data):
+            piece = data[a:b]
+            if len(piece) <= PART_BYTES:
+                row, start, end, value = words(piece, np.array([len(piece)]), fold)
+            else:
+                at = np.flatnonzero(~_SEPARATOR[piece])
+                start, end = at[:1], at[-1:] + 1
+                row = np.zeros(1, np.int64)
+                word = piece[int(start[0]) : int(end[0])]
+                value = np.array([_long_word(_FOLD[word] if fold else word)])
+            parts.append((row, start + a, end + a, value))
+            a = b
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     solid = ~_SEPARATOR[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
