@@ -43,16 +43,19 @@ SHARED = 1.04
 #: The probability that all trees miss a pair at the threshold, at most.
 MISSED = 1e-3
 #: A node is small if its pairs of different labels are no more than so many times its members.
-PAIRS_PER_MEMBER = 64
-#: Levels after which what is left is compared anyhow.
-DEPTH = 12
-PATH, PATHS = 4, 8
-#: Pieces of a path's sets that get a hub of their own.
-SALTS = 16
+PAIRS_PER_MEMBER = 256
 #: The smallest hashes of a set that are kept to compare sets of crowded nodes by; smaller sets are kept whole.
 LOWEST = 256
 #: Pairs of different labels from which on a node is crowded.
-CROWD = 2000
+CROWD = 1000
+#: Members of a node that meet in one block, and pairs that are compared at once.
+CHUNK = 4096
+PAIRS_AT_ONCE = 200_000
+#: A guard: nodes of sets that agree in every minwise token never fall apart. What is left then is compared in blocks.
+DEPTH = 64
+PATH, PATHS = 4, 8
+#: Pieces of a path's sets that get a hub of their own.
+SALTS = 16
 #: Candidate ids that are sent to every executor (8 bytes each); beyond, texts are joined with them by a shuffle.
 SENT_IDS = 4_000_000
 
@@ -80,8 +83,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             flat = pa.array(tokens.view(np.int32).reshape(-1))
             edges = pa.array((np.arange(n + 1) * T).astype(np.int32))
             # hashes are sorted within a row: its first ones are its smallest
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            low = nth < LOWEST
+            low = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) < LOWEST
             small = pa.array(((got[low] >> np.uint64(32)) ^ np.uint64(0x80000000)).astype(np.uint32).view(np.int32))
             until = pa.array(np.concatenate([[0], np.cumsum(np.minimum(count, LOWEST))]).astype(np.int32))
             cols = [part.column(0), pa.array(count), *(pa.array(digest[:, k].copy()) for k in (0, 1))]
@@ -112,6 +114,13 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, set array<long>")
 
 
+def _most(percent: int) -> int:
+    """How many of the T pairs of bits may differ: five standard deviations above what a pair at the threshold has."""
+    p = percent / 100
+    match = p + (1 - p) / 4
+    return int(T * (1 - match) + 5 * (T * match * (1 - match)) ** 0.5) + 1
+
+
 def _alike(a: str, b: str, percent: int) -> Column:
     """True unless sizes or sketches say that a pair can't reach the threshold."""
     col = lambda side, name: F.col(f"{side}.{name}")
@@ -120,11 +129,8 @@ def _alike(a: str, b: str, percent: int) -> Column:
         x = col(a, name).bitwiseXOR(col(b, name))
         one = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
         differ = one if differ is None else differ + one
-    p = percent / 100
-    match = p + (1 - p) / 4
-    most = int(T * (1 - match) + 5 * (T * match * (1 - match)) ** 0.5) + 1
     low, high = F.least(col(a, "n"), col(b, "n")), F.greatest(col(a, "n"), col(b, "n"))
-    return (low * 100 >= high * percent) & (differ <= most)
+    return (low * 100 >= high * percent) & (differ <= _most(percent))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -140,7 +146,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return materialise(
-        pairs.join(one, "a").join(two, "b").where(common * 100 >= union * percent).select("a", "b")
+        pairs.join(one, "a").join(two, "b").where(common * 100 >= union * percent).select("a", "b"), pairs, ids, sets
     )
 
 
@@ -201,29 +207,6 @@ def _children(level: int, key: Column, mh: Column, percent: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
-def _low_alike(a: str, b: str, percent: int) -> Column:
-    """True unless the smallest hashes of two sets say that they can't reach the threshold.
-
-    What the lists hold up to the smaller of their ends is a sample of both sets, and of sets that are kept whole it is
-    all. The bound is four standard deviations of a sample without replacement below the threshold."""
-    x, y = F.col(f"{a}.low"), F.col(f"{b}.low")
-    end = lambda side, c: F.when(F.col(f"{side}.n") > LOWEST, F.element_at(c, -1)).otherwise(F.lit(2**31 - 1))
-    limit = F.least(end(a, x), end(b, y))
-    common = F.size(F.array_intersect(x, y))
-    upto = lambda c: F.size(F.filter(c, lambda v: v <= limit))
-    seen = upto(x) + upto(y) - common
-    p = percent / 100
-    whole = (F.col(f"{a}.n") + F.col(f"{b}.n")) / (1 + p)
-    part = F.greatest(F.lit(0.0), F.lit(1.0) - seen / whole)
-    slack = 0.01 + 4 * F.sqrt(part * (p * (1 - p)) / seen)
-    both = F.size(x) + F.size(y)
-    exact = (F.col(f"{a}.n") <= LOWEST) & (F.col(f"{b}.n") <= LOWEST)
-    # else one list at least is whole below the limit: what the bound asks for at the smallest sample rejects most pairs
-    least = LOWEST * (p - 0.01 - 4 * (p * (1 - p) / LOWEST) ** 0.5)
-    sampled = (common >= F.lit(least)) & (common >= seen * (F.lit(p) - slack))
-    return F.when(exact, common * (1 + p - 0.01) >= both * (p - 0.01)).otherwise(sampled)
-
-
 def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of table with one of the ids."""
     ids = materialise(ids.select("id").distinct())
@@ -231,23 +214,144 @@ def _of(table: DataFrame, ids: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _meetings(small: DataFrame, extra: bool, percent: int) -> DataFrame:
-    """Pairs of small nodes: strangers against the largest label, and strangers among themselves."""
-    rest = small.where("label <> major")
-    found = None
-    for k, right in enumerate((small.where("label = major"), rest)):
-        x, y = rest.alias("x"), right.alias("y")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & _alike("x", "y", percent)
-        on = on & (F.col("x.id") < F.col("y.id")) if k else on
-        on = on & _low_alike("x", "y", percent) if extra else on
-        met = x.join(y, on).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        found = met if found is None else found.unionByName(met)
-    return found
+def _blocks(small: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(blk, right, id, n, bits, label, extra): the members of small nodes, dealt to blocks of bounded size.
+
+    In a node the strangers, whose label isn't the largest one, meet all others; pairs within the largest label are
+    linked already. A node of more than CHUNK members is cut: strangers and the rest are dealt to chunks by a hash, and
+    each chunk of strangers meets each chunk in a block of its own. Small nodes have few strangers, so that the members
+    of the largest label go to one or two blocks each, however many they are.
+    """
+    held = ["id", "n", *_BITS, "label", *extra]
+    stranger = F.col("label") != F.col("major")
+    plain = small.where(F.col("m") <= CHUNK).select(F.col("key").alias("blk"), (~stranger).alias("right"), *held)
+    cut = lambda c: F.greatest(F.lit(1), F.ceil(c / F.lit(CHUNK))).cast("int")
+    wide = small.where(F.col("m") > CHUNK).withColumns({"s": cut(F.col("m") - F.col("mc")), "t": cut(F.col("mc")), "st": stranger})
+    chunk = F.pmod(F.xxhash64("id", "key"), F.when(F.col("st"), F.col("s")).otherwise(F.col("t"))).cast("int")
+    wide = wide.withColumn("c", chunk)
+    spot = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"))
+    of_stranger = F.transform(
+        F.sequence(F.lit(0), F.col("s") + F.col("t") - 1),
+        lambda j: F.when(j < F.col("s"), spot(F.least("c", j), F.greatest("c", j), j < F.col("c"))).otherwise(spot(F.col("c"), j, F.lit(False))),
+    )
+    of_rest = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: spot(i, F.col("s") + F.col("c"), F.lit(True)))
+    wide = wide.withColumn("e", F.explode(F.when(F.col("st"), of_stranger).otherwise(of_rest)))
+    return plain.unionByName(wide.select(F.xxhash64("key", "e.i", "e.j").alias("blk"), F.col("e.right").alias("right"), *held))
+
+
+def _similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int, most: int) -> np.ndarray:
+    """Which of the pairs (i, j) sizes and sketches leave possible."""
+    x, y = n[i], n[j]
+    at = np.flatnonzero(np.minimum(x, y) * 100 >= np.maximum(x, y) * percent)
+    differ = np.zeros(len(at), np.int64)
+    for b in bits:
+        v = b[i[at]] ^ b[j[at]]
+        differ += np.bitwise_count((v | (v >> np.uint64(1))) & np.uint64(0x5555555555555555))
+        ok = differ <= most
+        at, differ = at[ok], differ[ok]
+    return at
+
+
+def _ranks(low: pa.ChunkedArray) -> tuple[np.ndarray, int]:
+    """The lists as a matrix of the ranks of their values among all there are, filled up with the first number that is
+    no rank; and that number."""
+    lists = low.combine_chunks()
+    values, rank = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    size = np.diff(lists.offsets.to_numpy())
+    out = np.full((len(size), LOWEST), len(values), np.int32)
+    out[np.arange(LOWEST) < size[:, None]] = rank
+    return out, len(values)
+
+
+def _low_similar(i: np.ndarray, j: np.ndarray, n: np.ndarray, ranks: np.ndarray, none: int, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j), sorted by i, the smallest hashes of both sets leave possible.
+
+    What the lists hold up to the smaller of their ends is a sample of both sets; of two sets that are kept whole it is
+    all. The bound is four standard deviations of a sample without replacement below the threshold, and 0.01 for
+    hashes of 32 bits that agree by chance."""
+    p = percent / 100
+    end = np.where(n > LOWEST, ranks[:, -1], none - 1)
+    mark = np.zeros(none + 1, bool)
+    out = np.zeros(len(i), bool)
+    cuts = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        row, others = int(i[a]), j[a:b]
+        mine = ranks[row]
+        mark[mine] = True
+        mark[none] = False
+        theirs = ranks[others]
+        common = mark[theirs].sum(axis=1)
+        mark[mine] = False
+        limit = np.minimum(end[row], end[others])
+        seen = np.searchsorted(mine, limit, side="right") + (theirs <= limit[:, None]).sum(axis=1) - common
+        union = (n[row] + n[others]) / (1 + p)
+        part = np.maximum(0.0, 1 - seen / union)
+        exact = (n[row] <= LOWEST) & (n[others] <= LOWEST)
+        slack = np.where(exact, 0.01, 0.01 + 4 * np.sqrt(part * p * (1 - p) / np.maximum(seen, 1)))
+        out[a:b] = common >= seen * (p - slack)
+    return np.flatnonzero(out)
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int, crowd: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates (a, b) of blocks, which come sorted: the rows of a block side by side, its left rows first."""
+    most = _most(percent)
+
+    def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        blk, right, ids, n, *bits, label = (table.column(k).to_numpy() for k in range(5 + len(_BITS)))
+        bits = [b.view(np.uint64) for b in bits]
+        ranks = _ranks(table.column(5 + len(_BITS))) if crowd else None
+        edge = np.flatnonzero(np.concatenate([blk[1:] != blk[:-1], [True]])) + 1
+        end = edge[np.searchsorted(edge, np.arange(len(blk)), side="right")]
+        left = np.flatnonzero(~right)
+        count = end[left] - left - 1
+        upto = np.cumsum(count)
+        k = 0
+        while k < len(left):
+            stop = max(k + 1, int(np.searchsorted(upto, upto[k] - count[k] + PAIRS_AT_ONCE, side="right")))
+            c = count[k:stop]
+            i = np.repeat(left[k:stop], c)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+            k = stop
+            strange = label[i] != label[j]
+            i, j = i[strange], j[strange]
+            at = _similar(i, j, n, bits, percent, most)
+            i, j = i[at], j[at]
+            if crowd and len(i):
+                at = _low_similar(i, j, n, *ranks, percent)
+                i, j = i[at], j[at]
+            if len(i):
+                a, b = ids[i], ids[j]
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < CHUNK:
+            continue
+        # all but the last block, which may go on
+        whole = pa.Table.from_batches(held)
+        blk = whole.column(0).to_numpy()
+        first = int(np.flatnonzero(blk != blk[-1])[-1]) + 1 if blk[0] != blk[-1] else 0
+        if first:
+            yield from block(whole.slice(0, first))
+        held = whole.slice(first).combine_chunks().to_batches()
+        rows = whole.num_rows - first
+    if rows:
+        yield from block(pa.Table.from_batches(held))
+
+
+def _meetings(small: DataFrame, percent: int, crowd: bool) -> DataFrame:
+    """Candidates of small nodes. Those of a crowd come with their smallest hashes, low."""
+    dealt = _blocks(small, ("low",) if crowd else ()).repartition("blk").sortWithinPartitions("blk", "right")
+    return dealt.mapInArrow(lambda it: _compare(it, percent, crowd), "a long, b long")
 
 
 def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, trees: range) -> tuple[DataFrame, int]:
     """Candidates of the trees, and their depth. reps: id, n, bits, mh; labels: id, label, of those that aren't their own;
-    rows: id, low."""
+    rows: id, n, low."""
     held = ["id", "n", *_BITS, "label"]
     root = F.flatten(F.array(*[_children(0, F.xxhash64(F.lit(-1 - t)), F.col("mh"), percent) for t in trees])).alias("keys")
     members = reps.select("id", "n", *_BITS, root).join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -259,11 +363,11 @@ def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, tr
             F.sum("c").alias("m"),
             F.sum(F.col("c").cast("double") * F.col("c")).alias("sq"),
             F.count(F.lit(1)).alias("labels"),
-            F.max(F.struct("c", "label")).getField("label").alias("major"),
+            F.max(F.struct("c", "label")).alias("most"),
         ).where("labels > 1")
         pairs = (F.col("m").cast("double") * F.col("m") - F.col("sq")) / 2
         is_small = (pairs <= F.col("m") * PAIRS_PER_MEMBER) | F.lit(level == DEPTH)
-        nodes = nodes.select("key", "major", is_small.alias("small"), (pairs > CROWD).alias("crowd"))
+        nodes = nodes.select("key", "m", F.col("most.label").alias("major"), F.col("most.c").alias("mc"), is_small.alias("small"), (pairs > CROWD).alias("crowd"))
         members = materialise(members.join(nodes, "key"))
         small = members.where("small")
         smalls = small if smalls is None else smalls.unionByName(small)
@@ -279,7 +383,7 @@ def _trees(reps: DataFrame, labels: DataFrame, rows: DataFrame, percent: int, tr
         members = materialise(large.distinct())
     crowd = smalls.where("crowd")
     low = _of(rows.select("id", "n", "low"), crowd).groupBy("id").agg(F.max_by("low", "n").alias("low"))
-    return _meetings(smalls.where("not crowd"), False, percent).unionByName(_meetings(crowd.join(low, "id"), True, percent)), level
+    return _meetings(smalls.where("not crowd"), percent, False).unionByName(_meetings(crowd.join(low, "id"), percent, True)), level
 
 
 def near_duplicates(
