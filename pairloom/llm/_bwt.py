@@ -26,14 +26,14 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     while True:
         order = np.argsort(key, kind="quicksort")
         got = key[order]
-        rank = np.empty(n, np.int64)
-        steps = np.cumsum(np.concatenate([[False], got[1:] != got[:-1]]))
+        rank = np.empty(n, np.int32)
+        steps = np.cumsum(np.concatenate([[False], got[1:] != got[:-1]]), dtype=np.int32)
         rank[order] = steps + 1
         if steps[-1] == n - 1 if n else True:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - length)] = rank[length:]
-        key = rank.astype(np.uint64) * np.uint64(n + 2) + after.astype(np.uint64)
+            return order.astype(np.int32)
+        key = rank.astype(np.uint64)
+        key *= np.uint64(n + 2)
+        key[: max(0, n - length)] += rank[length:].astype(np.uint64)
         length *= 2
 
 
@@ -41,22 +41,23 @@ def groups(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     """(string, start, group) of every place where length bytes of one string begin; equal bytes have equal groups."""
     sizes = np.array([len(s) for s in strings], np.int64)
     n = int(sizes.sum()) + len(strings)
-    symbols = np.zeros(n, np.int64)
+    symbols = np.zeros(n, np.int16)
     begin = np.cumsum(sizes + 1) - sizes - 1
     data = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8) if strings else np.zeros(0, np.uint8)
     inside = np.ones(n, bool)
     inside[begin + sizes] = False
-    symbols[inside] = data[inside].astype(np.int64) + 1
+    symbols[inside] = data[inside].astype(np.int16) + 1
     order = suffix_array(symbols)
     bwt = symbols[order - 1]
     count = np.bincount(symbols, minlength=257)
     first = np.cumsum(count) - count
     # LF: where the suffix that is one symbol longer stands
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     lf = place[order - 1]
+    del place
 
-    edge = np.full(n + 1, -1, np.int64)
+    edge = np.full(n + 1, -1, np.int32)
     edge[0] = edge[n] = 0
     seen = np.flatnonzero(count)
     left, right = first[seen], first[seen] + count[seen]

@@ -40,7 +40,7 @@ SENT_IDS = 4_000_000
 
 _PLACE = np.uint64((1 << 24) - 1)
 #: Bytes of one text that are worked on at once; places have 24 bits.
-_PIECE = 8 << 20
+_PIECE = 512 << 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,8 +164,8 @@ def _count(fetched: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
                 data, ends = columns(part, 4)
                 sizes = np.diff(np.concatenate([[0], ends]))
                 n = sizes - length + 1
@@ -198,15 +198,16 @@ def repeated_stretches(texts: DataFrame, min_length: int, gram: int, group_bytes
 
     mixed = shared.where(~F.col("same"))
     distinct = materialise(
-        mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "th", "lo", "n")).alias("at"))
+        # any row will do; one aggregate takes all its columns from the same row
+        mixed.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("id", "th", "lo", "n")])
     )
     copies = distinct.where("c > 1").select("key", "ctx")
     out = out.unionByName(mixed.join(copies, ["key", "ctx"], "left_semi").select("id", "th", F.col("lo").alias("a"), end))
 
     # a context that occurs once needs a look at the others of its anchor
-    groups = distinct.groupBy("key").agg(F.sum(F.col("at.n") + (min_length - 1)).alias("size"), F.min("c").alias("least")).where("least = 1")
+    groups = distinct.groupBy("key").agg(F.sum(F.col("n") + (min_length - 1)).alias("size"), F.min("c").alias("least")).where("least = 1")
     ask = distinct.join(groups, "key").select(
-        "key", (F.col("size") > group_bytes).alias("large"), (F.col("c") > 1).alias("many"), "at.id", "at.th", "at.lo", "at.n"
+        "key", (F.col("size") > group_bytes).alias("large"), (F.col("c") > 1).alias("many"), "id", "th", "lo", "n"
     )
     ask = materialise(ask)
     ids = materialise(ask.select("id", "th").distinct())
