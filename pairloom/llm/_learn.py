@@ -34,19 +34,37 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+#: Non-zeros of a sparse table that are worked on at once; besides them it holds four bytes for each.
+AT_ONCE = 1 << 20
+
+
 class Sparse:
-    """Rows of column numbers with a value for each column: x[i, c] = scale[c] where c is listed."""
+    """Rows of column numbers with a value for each column: x[i, c] = scale[c] where c is listed.
+
+    col: the column numbers of all rows end to end, int32; edges: where each row begins, and the end."""
+
+    def __init__(self, col: np.ndarray, edges: np.ndarray, n_cols: int, scale: np.ndarray):
+        self.n, self.n_cols, self.scale, self.col, self.edges = len(edges) - 1, n_cols, scale, col, edges
+        # whole rows, so that each part has about AT_ONCE numbers
+        wanted = np.arange(0, int(edges[-1]) + AT_ONCE, AT_ONCE)
+        self.cuts = np.unique(np.append(np.searchsorted(edges, wanted), self.n)).clip(0, self.n).tolist()
 
-    def __init__(self, rows: list[np.ndarray], n_cols: int, scale: np.ndarray):
-        self.n, self.n_cols, self.scale = len(rows), n_cols, scale
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.col = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    def _parts(self):
+        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            at = self.edges[a : b + 1]
+            yield a, b, self.col[at[0] : at[-1]], np.repeat(np.arange(b - a), np.diff(at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, (w * self.scale)[self.col], self.n)
+        v, out = w * self.scale, np.zeros(self.n)
+        for a, b, col, row in self._parts():
+            out[a:b] = np.bincount(row, v[col], b - a)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, g[self.row], self.n_cols) * self.scale
+        out = np.zeros(self.n_cols)
+        for a, b, col, row in self._parts():
+            out += np.bincount(col, g[a:b][row], self.n_cols)
+        return out * self.scale
 
 
 class Dense:

@@ -28,8 +28,10 @@ ORDERS = (3, 4, 5, 6)
 #: Labelled rows that are learnt from, at most.
 MAX_ROWS = 40_000
 MIN_ROWS = 3
-#: Bytes of text whose n-grams are held at once.
-PART_BYTES = 1 << 20
+#: Bytes of text whose n-grams are held at once: each byte of running text has about fifty in its distinct words, of
+#: eight bytes in several arrays.
+PART_BYTES = 128 << 10
+#: Features whose log-count ratio is nearer to 0 tell the classes apart too little to be fitted.
 MIN_RATIO = 1.0
 _SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -101,7 +103,7 @@ class Model:
     orders: tuple[int, ...] = ORDERS
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, orders: tuple[int, ...] = ORDERS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, orders: tuple[int, ...] = ORDERS, min_ratio: float = MIN_RATIO) -> Model:
     """Learns from labelled rows outside the held-out fold. Without any, or with one class only, every text gets the
     smoothed rate of the labels (a half where there are none)."""
     ship(docs.sparkSession)
@@ -119,8 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 label = (part.column(0).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
                 rows += np.bincount(label, minlength=2)
                 row, bucket = features(*columns(part, 1), None, orders)
-                for k in (0, 1):
-                    seen[k] += np.bincount(bucket[label[row] == k], minlength=BUCKETS)
+                np.add.at(seen, (label[row], bucket), 1)
         at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(seen[k][at], rows[k])) for k in (0, 1))],
@@ -128,17 +129,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
         )
 
     counts = sample.mapInArrow(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counts.where(F.col("bucket").isin(-1) | (F.col("n0") + F.col("n1") >= MIN_ROWS)).toPandas()
-    total = got[got.bucket == -1]
-    n0, n1 = (int(total.n0.sum()), int(total.n1.sum()))
-    got = got[got.bucket >= 0]
+    got = counts.where(F.col("bucket").isin(-1) | (F.col("n0") + F.col("n1") >= MIN_ROWS)).toArrow()
+    bucket, c0, c1 = (got.column(k).to_numpy() for k in range(3))
+    whole = bucket == -1
+    n0, n1 = int(c0[whole].sum()), int(c1[whole].sum())
+    order = np.argsort(bucket)[int(whole.sum()) :]
+    bucket, c0, c1 = bucket[order], c0[order], c1[order]
     weights = np.zeros(BUCKETS, np.float32)
     rate = (n1 + 1) / (n0 + n1 + 2)
     if not n0 or not n1:
         return Model(weights, float(np.log(rate / (1 - rate))), orders)
-    ratio = np.log((got.n1.to_numpy() + 1) / (n1 + 2)) - np.log((got.n0.to_numpy() + 1) / (n0 + 2))
-    strong = np.abs(ratio) >= MIN_RATIO
-    bucket, ratio = got.bucket.to_numpy()[strong], ratio[strong]
+    ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+    strong = np.abs(ratio) >= min_ratio
+    bucket, ratio = bucket[strong], ratio[strong]
     active = np.zeros(BUCKETS, bool)
     active[bucket] = True
 
@@ -150,11 +153,20 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["label", "found"])
 
-    fit = sample.mapInArrow(keep, "label int, found array<int>").toPandas()
-    number = np.zeros(BUCKETS, np.int64)
-    number[bucket] = np.arange(len(bucket))
-    x = _learn.Sparse([number[np.asarray(f, np.int64)] for f in fit.found], len(bucket), ratio)
-    w, b = _learn.logistic(x, (fit.label.to_numpy() > 0).astype(float), l2=1e-4)
+    fit = sample.mapInArrow(keep, "label int, found array<int>").toArrow()
+    number = np.zeros(BUCKETS, np.int32)
+    number[bucket] = np.arange(len(bucket), dtype=np.int32)
+    col, edges, y = [], [np.zeros(1, np.int64)], []
+    for part in fit.to_batches():
+        lists = part.column(1)
+        at = lists.offsets.to_numpy().astype(np.int64)
+        col.append(number[lists.values.to_numpy()[at[0] : at[-1]]])
+        edges.append(at[1:] - at[0] + edges[-1][-1])
+        y.append(part.column(0).to_numpy(zero_copy_only=False) > 0)
+    y = np.concatenate(y).astype(float)
+    x = _learn.Sparse(np.concatenate(col), np.concatenate(edges), len(bucket), ratio)
+    del fit, col
+    w, b = _learn.logistic(x, y, l2=1e-4)
     weights[bucket] = (w * ratio).astype(np.float32)
     return Model(weights, b, orders)
 
@@ -201,18 +213,33 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
 
 
 def stage_threshold(docs: DataFrame, labels: DataFrame, keep: float = 0.99, folds: int = 3, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> float:
-    """The lowest threshold that leaves the share keep of clean documents, each scored by a model that hasn't seen it:
-    cross-validation on labels outside the held-out fold. 0.5 at most, and where there are no clean documents."""
+    """A threshold that leaves the share keep of clean documents, each scored by a model that hasn't seen it:
+    cross-validation on labels outside the held-out fold. Of the thresholds that catch as many toxic documents as the
+    lowest such one, the one in the middle (of the log odds) is taken, so that where the classes lie apart a little
+    difference between the models parts neither. 0.5 at most, and where there are no clean documents.
+
+    No more scores than labels that may be learnt from, MAX_ROWS, come to the driver."""
     sample = materialise(_learn.sample_labels(labels, label_col, MAX_ROWS, id_col).withColumnRenamed("__lid", id_col).withColumnRenamed("__label", label_col))
     fold = F.pmod(F.xxhash64(F.lit(11), F.col(f"`{id_col}`")), F.lit(folds))
-    clean = []
+    clean, toxic = [], []
     for k in range(folds):
         model = train(docs, sample.where(fold != k), label_col, id_col, text_col)
-        held = sample.where((fold == k) & (F.col(label_col) <= 0)).withColumnRenamed(id_col, "__lid").drop(label_col)
-        clean += [r.score for r in score(_learn.labelled(docs, held, id_col), model, id_col, text_col).select("score").collect()]
-    if not clean:
+        for found, one in ((clean, F.col(label_col) <= 0), (toxic, F.col(label_col) > 0)):
+            held = sample.where((fold == k) & one).withColumnRenamed(id_col, "__lid").drop(label_col)
+            part = _learn.labelled(docs, held, id_col)
+            found.append(score(part, model, id_col, text_col).select("score").toArrow().column(0).to_numpy())
+    return _between(np.concatenate(clean), np.concatenate(toxic), keep)
+
+
+def _between(clean: np.ndarray, toxic: np.ndarray, keep: float) -> float:
+    if not len(clean):
+        return 0.5
+    low = float(np.nextafter(np.sort(clean)[int(np.ceil(keep * len(clean))) - 1], 1))
+    high = toxic[toxic >= low].min() if (toxic >= low).any() else low
+    if low >= 0.5:
         return 0.5
-    return min(0.5, float(np.nextafter(np.sort(clean)[int(np.ceil(keep * len(clean))) - 1], 1)))
+    odds = lambda p: np.log(max(p, 1e-12) / max(1 - p, 1e-12))
+    return min(0.5, max(low, float(_learn.sigmoid(np.array((odds(low) + odds(min(high, 0.5))) / 2)))))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
