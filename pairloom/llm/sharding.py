@@ -7,10 +7,12 @@ of the key's hash) give offsets, and rows are numbered within a sub-range, so th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm._common import table
+from pairloom.llm._common import materialise, table
 
 _MULTIPLIER = "2862933555777941757"
 _TWO_64 = "18446744073709551616"
@@ -25,7 +27,9 @@ def key_hash(key: Column) -> Column:
 def jumps(key: Column, upto: int) -> Column:
     """The shard numbers below upto that the key jumps to, in order; the last below n is its shard among n.
 
-    Each step is at least one shard further, so upto steps are enough for any key. Steps past the end change nothing.
+    A key jumps about ln(upto) times. So many steps and some more are made for all keys; a key that isn't at the end
+    then, which hardly ever happens, makes upto steps, which are enough as each is at least one shard further. Steps
+    past the end change nothing.
     """
 
     def step(s: Column, _i: Column) -> Column:
@@ -39,7 +43,17 @@ def jumps(key: Column, upto: int) -> Column:
     start = F.struct(
         key.alias("k"), F.lit(0).cast("long").alias("j"), F.array().cast("array<bigint>").alias("at")
     )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(upto)), start, step, lambda s: s["at"])
+    few = min(upto, int(3 * math.log(upto)) + 12)
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
+    if few == upto:
+        return walked["at"]
+
+    def finish(s: Column) -> Column:
+        rest = F.aggregate(F.sequence(F.lit(1), F.lit(upto)), s, step)
+        return F.when(s["j"] < upto, rest["at"]).otherwise(s["at"])
+
+    # the lambda's argument is computed once
+    return F.transform(F.array(walked), finish)[0]
 
 
 def assign_shards(
@@ -53,37 +67,35 @@ def assign_shards(
 
     size is the UTF-8 length of the text plus 16 (a null text: 16, checksum 0). A null id has the key of the empty
     text, so its rows share a shard. Rows with one id get one shard and different slots; their order among themselves
-    follows size and checksum. Other columns are ignored. sub_ranges bounds the rows that one task numbers: a shard is
+    follows sub-range, size and checksum. Other columns are ignored. sub_ranges bounds the rows that one task numbers: a shard is
     cut into so many hash ranges.
     """
     if n_shards < 1 or sub_ranges < 1:
         raise ValueError("n_shards and sub_ranges must be at least 1")
     text = F.col(f"`{text_col}`")
-
-    def placed(extra: list[Column]) -> DataFrame:
-        keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), *extra)
-        keyed = keyed.withColumn("__at", jumps(key_hash(F.col("__id")), n_shards + 1))
-        below = F.filter("__at", lambda j: j < n_shards)
-        return keyed.withColumns(
-            {
-                "__shard": F.element_at(below, -1).cast("int"),
-                "__grown": F.element_at("__at", -1).cast("int"),
-                # salted by what the row holds, so that many rows with one id don't meet in one range
-                "__sub": F.pmod(F.xxhash64("__id"), F.lit(sub_ranges)).cast("int"),
-            }
-        ).drop("__at")
-
-    counts = placed([]).groupBy("__shard", "__sub").agg(F.count(F.lit(1)).alias("__n"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("__id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long").alias("__size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("__crc"),
+    )
+    rows = rows.withColumn("__at", jumps(key_hash(F.col("__id")), n_shards + 1))
+    # texts are read once; what is written is a few numbers a row
+    rows = materialise(
+        rows.select(
+            "__id",
+            "__size",
+            "__crc",
+            F.element_at(F.filter("__at", lambda j: j < n_shards), -1).cast("int").alias("__shard"),
+            F.element_at("__at", -1).cast("int").alias("__grown"),
+            # by size and checksum too, so that many rows with one id don't meet in one range
+            F.pmod(F.xxhash64("__id", "__size", "__crc"), F.lit(sub_ranges)).cast("int").alias("__sub"),
+        )
+    )
+    counts = rows.groupBy("__shard", "__sub").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__shard").orderBy("__sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         "__shard", "__sub", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    rows = placed(
-        [
-            (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(16)).cast("long").alias("__size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long").alias("__crc"),
-        ]
-    )
     within = Window.partitionBy("__shard", "__sub").orderBy(F.col("__id"), "__size", "__crc")
     numbered = rows.withColumn("__rank", F.row_number().over(within))
     # n_shards * sub_ranges rows at most, whatever the input: small enough to send to every executor
