@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pairloom.llm._common import WORD, materialise, table
 
 STEPS = 60
-#: Sources whose totals may be gathered into one row: 100,000 rows of a name and four numbers.
+#: Sources whose totals may be gathered into one row; more are an error.
 MAX_SOURCES = 100_000
 
 
@@ -42,6 +42,8 @@ def weights(
     """
     if (target_entropy is None) == (max_repeats is None):
         raise ValueError("give target_entropy or max_repeats")
+    if totals.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: their totals don't fit in one row")
     total = F.aggregate("ts", F.lit(0.0), lambda a, t: a + t)
     row = totals.where("tokens > 0").agg(F.collect_list(F.col("tokens").cast("double")).alias("ts"))
     row = row.withColumn("ts", F.array_sort("ts")).withColumn("total", total)
@@ -109,7 +111,8 @@ def mix(
     Tokens are words; a null text has none. A null source is a source of its own. A row without tokens costs nothing
     and goes with its block; a source without any tokens is read once, as there is nothing to weigh. The order by
     (mix_epoch, mix_block, mix_order) is the order to read in; rows with one id and one text tie and stay together.
-    A source's last, partial epoch stops before the row that would go past its quota. Columns whose names clash with
+    A source's last, partial epoch stops before the row that would go past its quota, or before all rows that tie with
+    it. More than MAX_SOURCES sources raise ValueError. Columns whose names clash with
     the added ones are replaced; an empty table gives an empty result.
     """
     added = ["mix_tokens", "mix_epoch", "mix_block", "mix_order", "mix_weight", "mix_quota"]
@@ -125,8 +128,9 @@ def mix(
     def spot(epoch: Column) -> Column:
         return F.xxhash64(F.lit(seed), epoch, F.col("__src"), F.col("__id"))
 
-    light = base.select("__src", "__id", "__n")
-    totals = light.groupBy("__src").agg(F.sum("__n").alias("tokens")).withColumnRenamed("__src", "source")
+    # texts are read twice: for this, and for the rows that come out
+    light = materialise(base.select("__src", "__id", "__n"))
+    totals = materialise(light.groupBy("__src").agg(F.sum("__n").alias("tokens")).withColumnRenamed("__src", "source"))
     plan = weights(totals, target_entropy, max_repeats, budget).withColumns(
         {
             # a quota that is a whole number of readings up to rounding is that number
@@ -138,8 +142,8 @@ def mix(
             "__left", F.greatest(F.lit(0.0), F.col("quota") - F.col("__epochs") * F.col("tokens"))
         ).withColumnRenamed("source", "__src")
     )
-    small = plan.limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
-    sent = F.broadcast if small else (lambda x: x)
+    # MAX_SOURCES rows at most
+    sent = F.broadcast
 
     def block(epoch: Column) -> Column:
         return F.pmod(F.shiftright(spot(epoch), 40), F.lit(blocks)).cast("int")
@@ -168,7 +172,7 @@ def mix(
     # Only rows of a crossing block are summed up in order; a block holds one part in `blocks` of its source.
     crossing = F.coalesce(F.col("__b") == F.col("__cut.__b"), F.lit(False))
     in_order = (
-        Window.partitionBy("__src", "__b").orderBy("__o", "__id").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("__src", "__b").orderBy("__o", "__id").rangeBetween(Window.unboundedPreceding, 0)
     )
     edge = (
         with_plan(light)
