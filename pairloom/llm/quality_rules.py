@@ -104,7 +104,9 @@ def measures(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = (
         F.lit(0).cast("long"),
         lambda a, x: a + x,
     )
-    return df.select(*held, *counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    df = df.select(*held, *counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # A filter isn't pushed below a generator: else it would take the arrays along and make them for every element.
+    return df.select(*held, F.inline(F.array(F.struct(*counts, "n_repeat_words"))))
 
 
 def any_of(rules: tuple[Rule, ...]) -> Column:
@@ -121,9 +123,6 @@ def apply_rules(
     """One row per input row: id, the measures, base_failed, failed_rules (names in table order), kept.
 
     An empty or null text fails the base. Ids may repeat or be null; each row is judged alone. No shuffle.
-
-    Write the result before filtering it: a filter on a measure is pushed below the projections that hold the arrays,
-    and makes them anew for every element.
     """
     df = measures(docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("text")), carry=("__id",))
     names = [F.when(F.expr(r.sql()), F.lit(r.name)) for r in (*base, *rules)]

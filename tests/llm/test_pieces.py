@@ -56,3 +56,31 @@ def test_table(spark):
     assert pieces.encode(cases.none(spark), model).collect() == []
     back = pieces.decode(pieces.encode(cases.odd(spark), model), model).collect()
     assert {r.doc_id: r.text for r in back} == {r.doc_id: r.decoded for r in out}
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_character_map(rule):
+    """The library's own compiled maps, put into a copy of the model: same ids, and spans that tile the text."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(pieces.read_model(pieces.tokenizer_path()))
+    spec = sentencepiece_model_pb2.ModelProto()
+    normalizer = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec.ParseFromString(normalizer.serialized_model_proto())
+    assert len(spec.normalizer_spec.precompiled_charsmap) > 1000
+    proto.normalizer_spec.precompiled_charsmap = spec.normalizer_spec.precompiled_charsmap
+    for squeeze in (True, False):
+        proto.normalizer_spec.remove_extra_whitespaces = squeeze
+        model = proto.SerializeToString()
+        encoder, library = pieces.Encoder(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+        assert encoder.normalize.map.units and not encoder.normalize.plain
+        for t in ODD:
+            ids, starts, ends = encoder.encode(t)
+            assert ids.tolist() == library.encode(t, add_eos=True), (rule, squeeze, t[:40])
+            assert all(0 <= a <= b <= len(t.encode()) for a, b in zip(starts, ends, strict=True))
+            assert (starts[1:] >= starts[:-1]).all()
+    # a ligature is one character of three bytes whose replacement has two letters
+    normal, origin = encoder.normalize("xﬁy".encode())
+    at = normal.index(b"fi")
+    assert origin[at] == origin[at + 1] == 1 and origin[at + 2] == 4

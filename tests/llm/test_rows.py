@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from pairloom.llm import exact_dedup, mixing, quality_rules, sharding
-from pairloom.llm._common import materialise
+from pairloom.llm._common import materialise, release
 
 from . import cases
 
@@ -38,7 +39,7 @@ def test_measures(spark):
 
 
 def test_rules_keep_labelled_good_texts(spark, sf_dir):
-    out = materialise(quality_rules.op3_quality_rules(spark, sf_dir))
+    out = quality_rules.op3_quality_rules(spark, sf_dir)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
     r = out.join(good, "doc_id").where("not base_failed").agg(F.avg(F.col("kept").cast("int")).alias("k")).first()
     assert r.k >= 0.95
@@ -139,3 +140,76 @@ def test_mix_keeps_columns_and_budget(spark):
     assert out.agg(F.sum("mix_tokens").alias("n")).first().n <= 1000
     with pytest.raises(ValueError, match="target_entropy or max_repeats"):
         mixing.mix(odd)
+
+
+def test_rules_can_be_filtered(spark):
+    """A filter on the measures gives the rows that they have, without computing the arrays for every element."""
+    out = quality_rules.op3_quality_rules(spark, "/root/testdata/sf0.01")
+    rows = out.collect()
+    assert out.where("kept and n_repeat_words > 3").count() == sum(r.kept and r.n_repeat_words > 3 for r in rows)
+    assert out.where("not base_failed").agg(F.sum("n_words")).first()[0] == sum(r.n_words for r in rows if not r.base_failed)
+
+
+def test_neighbours_alone_find_copies(spark):
+    """Of texts that few rows share the sort leaves one run each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    runs = exact_dedup._runs(docs, "doc_id", F.col("text"), "largest", []).where("__rn = 1")
+    assert runs.count() == docs.select("text").distinct().count()
+
+
+def test_drop_exact_of_hot_text(spark):
+    """Pieces of a hot text, null texts that equal an empty one, repeated rows: one row of each text stays."""
+    rows = [(i, "hot") for i in range(1000)] + [(999, "hot")] * 600 + [(5000, None), (4999, ""), (6000, "one")]
+    out = exact_dedup.drop_exact(cases.texts(spark, rows), keep="largest").collect()
+    assert sorted((r.doc_id, r.text) for r in out if r.text) == [(999, "hot"), (6000, "one")]
+    assert [(r.doc_id, r.text) for r in out if not r.text] == [(5000, None)]
+
+
+def test_one_id_is_dealt_to_ranges(spark):
+    rows = [(1, f"text {i}") for i in range(500)]
+    out = sharding.assign_shards(cases.texts(spark, rows), 7, sub_ranges=16)
+    got = out.collect()
+    assert len({r.shard for r in got}) == 1 and sorted(r.slot for r in got) == list(range(500))
+
+
+def test_jumps_beyond_the_usual_number_of_steps(spark):
+    """The walk that is cut short and finished is the whole walk."""
+    keys = spark.range(200).select(sharding.key_hash(F.col("id")).alias("k"))
+    for n in (1, 2, 3, 15, 300):
+        def walk(k):
+            k, j, at = int(k), 0, []
+            while j < n:
+                at.append(j)
+                k = (k * 2862933555777941757 + 1) % 2**64
+                j = int((j + 1) * (2**31 / ((k >> 33) + 1)))
+            return at
+
+        for r in keys.select("k", sharding.jumps(F.col("k"), n).alias("at")).collect():
+            assert r["at"] == walk(r.k)
+
+
+def test_ties_stay_within_the_quota(spark):
+    """Rows that tie go together, and not past the quota."""
+    rows = [(1, "a b c d", "x")] * 40 + [(i, "a b", "y") for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs, target_entropy=0.99, blocks=4).groupBy("source").agg(
+        F.sum("mix_tokens").alias("n"), F.first("mix_quota").alias("q")
+    )
+    for r in out.collect():
+        assert r.n <= r.q + 1e-6
+
+
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    docs = spark.createDataFrame([(i, "a", str(i)) for i in range(5)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs, target_entropy=0.9)
+
+
+def test_release_deletes(spark):
+    one = materialise(spark.range(3))
+    two = materialise(one, one)
+    assert two.count() == 3
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(one._written)
+    release(two)
