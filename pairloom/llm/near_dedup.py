@@ -42,8 +42,9 @@ BINARY = 2
 SHARED = 1.04
 #: The probability that all trees miss a pair at the threshold, at most.
 MISSED = 1e-3
-#: A node is small if its pairs of different labels are no more than so many times its members.
-PAIRS_PER_MEMBER = 256
+#: A node is small if its pairs of different labels are no more than so many times its members: CHUNK members of as
+#: many labels, which make one block, have just so many.
+PAIRS_PER_MEMBER = 2048
 #: The smallest hashes of a set that are kept to compare sets of crowded nodes by; smaller sets are kept whole.
 LOWEST = 256
 #: Pairs of different labels from which on a node is crowded.
