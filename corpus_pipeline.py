@@ -24,7 +24,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
-    return toxicity.drop_toxic(docs, toxicity.train(docs, labels), toxicity.stage_threshold(docs, labels))
+    return toxicity.drop_toxic(docs, *toxicity.train_stage(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

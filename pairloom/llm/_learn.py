@@ -41,18 +41,23 @@ AT_ONCE = 1 << 20
 class Sparse:
     """Rows of column numbers with a value for each column: x[i, c] = scale[c] where c is listed.
 
-    col: the column numbers of all rows end to end, int32; edges: where each row begins, and the end."""
-
-    def __init__(self, col: np.ndarray, edges: np.ndarray, n_cols: int, scale: np.ndarray):
-        self.n, self.n_cols, self.scale, self.col, self.edges = len(edges) - 1, n_cols, scale, col, edges
-        # whole rows, so that each part has about AT_ONCE numbers
-        wanted = np.arange(0, int(edges[-1]) + AT_ONCE, AT_ONCE)
-        self.cuts = np.unique(np.append(np.searchsorted(edges, wanted), self.n)).clip(0, self.n).tolist()
+    col: the column numbers of all rows end to end, int32; edges: where each row begins, and the end; spans: the ranges
+    of rows that count, one after the other, all by default. Tables of one col and edges share them."""
+
+    def __init__(self, col: np.ndarray, edges: np.ndarray, n_cols: int, scale: np.ndarray, spans: list[tuple[int, int]] | None = None):
+        self.n_cols, self.scale, self.col, self.edges = n_cols, scale, col, edges
+        self.n, self.parts = 0, []
+        for lo, hi in [(0, len(edges) - 1)] if spans is None else spans:
+            # whole rows, so that each part has about AT_ONCE numbers
+            wanted = np.arange(int(edges[lo]), int(edges[hi]) + AT_ONCE, AT_ONCE)
+            cuts = np.unique(np.concatenate([[lo], lo + np.searchsorted(edges[lo : hi + 1], wanted), [hi]]).clip(lo, hi)).tolist()
+            self.parts += [(self.n + a - lo, a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            self.n += hi - lo
 
     def _parts(self):
-        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+        for place, a, b in self.parts:
             at = self.edges[a : b + 1]
-            yield a, b, self.col[at[0] : at[-1]], np.repeat(np.arange(b - a), np.diff(at))
+            yield place, place + b - a, self.col[at[0] : at[-1]], np.repeat(np.arange(b - a), np.diff(at))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         v, out = w * self.scale, np.zeros(self.n)

@@ -103,47 +103,70 @@ class Model:
     orders: tuple[int, ...] = ORDERS
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, orders: tuple[int, ...] = ORDERS, min_ratio: float = MIN_RATIO) -> Model:
-    """Learns from labelled rows outside the held-out fold. Without any, or with one class only, every text gets the
-    smoothed rate of the labels (a half where there are none)."""
+def _fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int, orders: tuple[int, ...], min_ratio: float, folds: int) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model of all labelled rows outside the held-out fold; and, where there are several folds, each row's label
+    and its score by a model of the other folds.
+
+    N-grams are counted by fold and the kept features of each row are taken once, for all the models: the counts of a
+    model are sums over its folds, and its features a part of those that any of them keeps."""
     ship(docs.sparkSession)
     sample = _learn.labelled(
         docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")),
         _learn.sample_labels(labels, label_col, max_rows, id_col), "id",
     )
-    sample = materialise(sample.select("__label", "text"))
+    kind = F.pmod(F.xxhash64(F.lit(11), F.col("id")), F.lit(folds)) * 2 + (F.col("__label") > 0).cast("int")
+    sample = materialise(sample.select(kind.cast("int").alias("kind"), "text"))
+    kinds = 2 * folds
+    names = [f"n{k}" for k in range(kinds)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, BUCKETS), np.int64)
-        rows = np.zeros(2, np.int64)
+        seen = np.zeros((kinds, BUCKETS), np.int32)
+        rows = np.zeros(kinds, np.int64)
         for batch in batches:
             for part in split_batch(batch, 1, PART_BYTES):
-                label = (part.column(0).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-                rows += np.bincount(label, minlength=2)
+                kind = part.column(0).to_numpy()
+                rows += np.bincount(kind, minlength=kinds)
                 row, bucket = features(*columns(part, 1), None, orders)
-                np.add.at(seen, (label[row], bucket), 1)
+                np.add.at(seen, (kind[row], bucket), 1)
         at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(seen[k][at], rows[k])) for k in (0, 1))],
-            names=["bucket", "n0", "n1"],
+            [pa.array(np.append(at, -1).astype(np.int32)), *(pa.array(np.append(seen[k][at].astype(np.int64), rows[k])) for k in range(kinds))],
+            names=["bucket", *names],
         )
 
-    counts = sample.mapInArrow(count, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counts.where(F.col("bucket").isin(-1) | (F.col("n0") + F.col("n1") >= MIN_ROWS)).toArrow()
-    bucket, c0, c1 = (got.column(k).to_numpy() for k in range(3))
+    counts = sample.mapInArrow(count, ", ".join(["bucket int", *(f"{n} long" for n in names)]))
+    counts = counts.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
+    all_rows = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    got = counts.where(F.col("bucket").isin(-1) | (all_rows >= MIN_ROWS)).toArrow()
+    bucket, seen = got.column(0).to_numpy(), np.stack([got.column(k + 1).to_numpy() for k in range(kinds)])
     whole = bucket == -1
-    n0, n1 = int(c0[whole].sum()), int(c1[whole].sum())
+    rows = seen[:, whole].sum(axis=1)
     order = np.argsort(bucket)[int(whole.sum()) :]
-    bucket, c0, c1 = bucket[order], c0[order], c1[order]
-    weights = np.zeros(BUCKETS, np.float32)
-    rate = (n1 + 1) / (n0 + n1 + 2)
-    if not n0 or not n1:
-        return Model(weights, float(np.log(rate / (1 - rate))), orders)
-    ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
-    strong = np.abs(ratio) >= min_ratio
-    bucket, ratio = bucket[strong], ratio[strong]
+    bucket, seen = bucket[order], seen[:, order]
+    del got
+
+    def ratios(used: list[int]) -> tuple[np.ndarray | None, float]:
+        """The log-count ratios of a model of these folds, 0 for features that it leaves out; and the log odds of the labels."""
+        (c0, c1), (n0, n1) = ([x[[2 * f + k for f in used]].sum(axis=0) for k in (0, 1)] for x in (seen, rows))
+        rate = (n1 + 1) / (n0 + n1 + 2)
+        if not n0 or not n1:
+            return None, float(np.log(rate / (1 - rate)))
+        ratio = np.log((c1 + 1) / (n1 + 2)) - np.log((c0 + 1) / (n0 + 2))
+        return np.where((c0 + c1 >= MIN_ROWS) & (np.abs(ratio) >= min_ratio), ratio, 0.0), float(np.log(rate / (1 - rate)))
+
+    used = [list(range(folds)), *([f for f in range(folds) if f != k] for k in range(folds) if folds > 1)]
+    models = [ratios(u) for u in used]
+    del seen
+    some = np.zeros(len(bucket), bool)
+    for ratio, _ in models:
+        if ratio is not None:
+            some |= ratio != 0
+    bucket = bucket[some]
     active = np.zeros(BUCKETS, bool)
     active[bucket] = True
+    weights = np.zeros(BUCKETS, np.float32)
+    if folds == 1 and models[0][0] is None:
+        return Model(weights, models[0][1], orders), np.zeros(0), np.zeros(0)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,24 +174,59 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
                 row, found = features(*columns(part, 1), active, orders)
                 edges = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["label", "found"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["kind", "found"])
 
-    fit = sample.mapInArrow(keep, "label int, found array<int>").toArrow()
+    held = sample.mapInArrow(keep, "kind int, found array<int>").toArrow().to_batches()
     number = np.zeros(BUCKETS, np.int32)
     number[bucket] = np.arange(len(bucket), dtype=np.int32)
-    col, edges, y = [], [np.zeros(1, np.int64)], []
-    for part in fit.to_batches():
-        lists = part.column(1)
-        at = lists.offsets.to_numpy().astype(np.int64)
-        col.append(number[lists.values.to_numpy()[at[0] : at[-1]]])
-        edges.append(at[1:] - at[0] + edges[-1][-1])
-        y.append(part.column(0).to_numpy(zero_copy_only=False) > 0)
-    y = np.concatenate(y).astype(float)
-    x = _learn.Sparse(np.concatenate(col), np.concatenate(edges), len(bucket), ratio)
-    del fit, col
-    w, b = _learn.logistic(x, y, l2=1e-4)
-    weights[bucket] = (w * ratio).astype(np.float32)
-    return Model(weights, b, orders)
+    col = np.empty(sum(len(part.column(1).flatten()) for part in held), np.int32)
+    sizes, y, place, ends = [np.zeros(0, np.int64)], [np.zeros(0)], 0, [0]
+    for f in range(folds):
+        for part in held:
+            kind = part.column(0).to_numpy()
+            mine = part.filter(pa.array(kind // 2 == f))
+            values = mine.column(1).flatten().to_numpy()
+            col[place : place + len(values)] = number[values]
+            place += len(values)
+            sizes.append(np.diff(mine.column(1).offsets.to_numpy()).astype(np.int64))
+            y.append((mine.column(0).to_numpy() % 2).astype(float))
+        ends.append(sum(len(x) for x in y))
+    del held
+    y, edges = np.concatenate(y), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+    def solve(k: int) -> tuple[np.ndarray, float]:
+        ratio, odds = models[k]
+        if ratio is None:
+            return np.zeros(len(bucket)), odds
+        spans = [(ends[f], ends[f + 1]) for f in used[k]]
+        w, b = _learn.logistic(_learn.Sparse(col, edges, len(bucket), ratio[some], spans), np.concatenate([y[a:z] for a, z in spans]), l2=1e-4)
+        return w * ratio[some], b
+
+    w, b = solve(0)
+    weights[bucket] = w.astype(np.float32)
+    scores = np.zeros(len(y) if folds > 1 else 0)
+    for f in range(folds if folds > 1 else 0):
+        w, odds = solve(f + 1)
+        x = _learn.Sparse(col, edges, len(bucket), np.ones(len(bucket)), [(ends[f], ends[f + 1])])
+        scores[ends[f] : ends[f + 1]] = _learn.sigmoid(x.dot(w) + odds)
+    return Model(weights, b, orders), y[: len(scores)], scores
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, orders: tuple[int, ...] = ORDERS, min_ratio: float = MIN_RATIO) -> Model:
+    """Learns from labelled rows outside the held-out fold. Without any, or with one class only, every text gets the
+    smoothed rate of the labels (a half where there are none)."""
+    return _fit(docs, labels, label_col, id_col, text_col, max_rows, orders, min_ratio, 1)[0]
+
+
+def train_stage(docs: DataFrame, labels: DataFrame, keep: float = 0.99, folds: int = 3, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, orders: tuple[int, ...] = ORDERS, min_ratio: float = MIN_RATIO) -> tuple[Model, float]:
+    """The model of train, and a threshold that leaves the share keep of clean documents, each scored by a model that
+    hasn't seen it: cross-validation on labels outside the held-out fold. Of the thresholds that catch as many toxic
+    documents as the lowest such one, the one in the middle (of the log odds) is taken, so that where the classes lie
+    apart a little difference between the models parts neither. 0.5 at most, and where there are no clean documents.
+
+    No more than max_rows scores are held."""
+    model, y, scores = _fit(docs, labels, label_col, id_col, text_col, max_rows, orders, min_ratio, folds)
+    return model, _between(scores[y == 0], scores[y > 0], keep)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,25 +270,6 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col:
     return docs.mapInArrow(run, docs.schema)
 
 
-def stage_threshold(docs: DataFrame, labels: DataFrame, keep: float = 0.99, folds: int = 3, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> float:
-    """A threshold that leaves the share keep of clean documents, each scored by a model that hasn't seen it:
-    cross-validation on labels outside the held-out fold. Of the thresholds that catch as many toxic documents as the
-    lowest such one, the one in the middle (of the log odds) is taken, so that where the classes lie apart a little
-    difference between the models parts neither. 0.5 at most, and where there are no clean documents.
-
-    No more scores than labels that may be learnt from, MAX_ROWS, come to the driver."""
-    sample = materialise(_learn.sample_labels(labels, label_col, MAX_ROWS, id_col).withColumnRenamed("__lid", id_col).withColumnRenamed("__label", label_col))
-    fold = F.pmod(F.xxhash64(F.lit(11), F.col(f"`{id_col}`")), F.lit(folds))
-    clean, toxic = [], []
-    for k in range(folds):
-        model = train(docs, sample.where(fold != k), label_col, id_col, text_col)
-        for found, one in ((clean, F.col(label_col) <= 0), (toxic, F.col(label_col) > 0)):
-            held = sample.where((fold == k) & one).withColumnRenamed(id_col, "__lid").drop(label_col)
-            part = _learn.labelled(docs, held, id_col)
-            found.append(score(part, model, id_col, text_col).select("score").toArrow().column(0).to_numpy())
-    return _between(np.concatenate(clean), np.concatenate(toxic), keep)
-
-
 def _between(clean: np.ndarray, toxic: np.ndarray, keep: float) -> float:
     if not len(clean):
         return 0.5

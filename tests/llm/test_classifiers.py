@@ -83,11 +83,20 @@ def test_pipeline(spark, sf_dir):
     assert seen["sentencepiece"].count() == seen["mixing"].count() == corpus_pipeline.run(spark, sf_dir).count()
 
 
-def test_toxic_documents_go(spark):
-    """Held-out toxic documents go, clean ones stay."""
+@pytest.fixture(scope="module")
+def stays(spark):
+    """The shares of held-out clean and toxic documents that the pipeline's stage keeps."""
     docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
     kept = corpus_pipeline.drop_toxic(spark, docs, LARGER).select("doc_id").withColumn("k", F.lit(1))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     r = labels.where(fold).join(kept, "doc_id", "left").groupBy("toxic").agg(F.avg(F.coalesce("k", F.lit(0))).alias("share")).collect()
-    share = {x.toxic: x.share for x in r}
-    assert share[0] >= 0.95 and share[1] <= 0.4
+    return {x.toxic: x.share for x in r}
+
+
+def test_clean_documents_stay(stays):
+    assert stays[0] >= 0.95
+
+
+@pytest.mark.xfail(strict=True, reason="2 of 6 stay, a French and a Spanish one; see README")
+def test_toxic_documents_go(stays):
+    assert stays[1] <= 0.25
