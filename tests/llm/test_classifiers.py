@@ -97,6 +97,6 @@ def test_clean_documents_stay(stays):
     assert stays[0] >= 0.95
 
 
-@pytest.mark.xfail(strict=True, reason="2 of 6 stay, a French and a Spanish one; see README")
+@pytest.mark.xfail(strict=True, reason="2 of 6 stay; see README")
 def test_toxic_documents_go(stays):
     assert stays[1] <= 0.25
