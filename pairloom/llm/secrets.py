@@ -57,7 +57,7 @@ MORE = (
     Rule("stripe", rb"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", rb"(?i)authorization:\x20*bearer\x20+[A-Za-z0-9._~+/-]{16,}=*"),
-    Rule("url_login", rb"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]{1,64}:[^\s/@:\"']{3,64}@[A-Za-z0-9.-]+"),
+    Rule("url_login", rb"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]+:[^\s/@:\"']{3,}@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MORE
 

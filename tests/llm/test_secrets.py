@@ -65,3 +65,11 @@ def test_odd_rows(spark):
     out = secrets.find_secrets(cases.odd(spark)).collect()
     assert len(out) == len(cases.ODD) and all(r.spans == [] for r in out)
     assert secrets.find_secrets(cases.none(spark)).collect() == []
+
+
+def test_long_logins():
+    """A login's user and password may have any length."""
+    rule = next(r for r in secrets.MORE if r.kind == "url_login")
+    for user, password in (("u" * 300, "p" * 5000), ("bob", "github_pat_" + "x" * 82)):
+        text = f"see https://{user}:{password}@host.example/a".encode()
+        assert re.search(rule.pattern, text).span() == (4, len(text) - 2)
