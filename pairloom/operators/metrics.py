@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
+from pairloom._ship import ship
 from pairloom.functions.features import interval_text, t_quantile
 from pairloom.functions.text import bound, syllables, truncate, word_array
 
@@ -43,66 +48,119 @@ def fkgl(sentences: DataFrame, text_col: str, group: Sequence[str]) -> DataFrame
     return n.withColumn("fkgl", F.when(F.col("n_words") > 0, grade))
 
 
-def ngrams(words: Column, top: int = 4) -> Column:
-    """array<struct<n,gram>> of all n-grams, n from 1 to top."""
-
-    def one(w: Column, n: int) -> Column:
-        gram = lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(w, i, n), " ").alias("gram"))
-        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), gram)
-        return F.when(F.size(w) >= n, each).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-
-    return bound(words, lambda w: F.flatten(F.array(*[one(w, n) for n in range(1, top + 1)])))
-
-
-def gram_counts(rows: DataFrame, keys: Sequence[str], sides: Sequence[str], top: int = 4) -> DataFrame:
-    """One row for each key, n and gram, with its count on each side: a single aggregation, no join."""
-
-    def of(side: str) -> Column:
-        grams = ngrams(word_array(F.lower(F.col(side))), top)
-        return F.transform(grams, lambda g: F.struct(F.lit(side).alias("side"), g["n"].alias("n"), g["gram"].alias("gram")))
-
-    each = [of(s) for s in sides]
-    flat = rows.select(*keys, F.inline(F.concat(*each)))
-    return flat.groupBy(*keys, "n", "gram").agg(*[F.sum((F.col("side") == s).cast("long")).alias(s) for s in sides])
-
-
-def bleu_counts(pairs: DataFrame, keys: Sequence[str], hypothesis: str, reference: str) -> DataFrame:
-    """(n, matches, total): clipped n-gram matches of the corpus (Papineni et al., 2002)."""
-    counts = gram_counts(pairs, keys, [hypothesis, reference])
-    return counts.groupBy("n").agg(
-        F.sum(F.least(hypothesis, reference)).cast("long").alias("matches"), F.sum(hypothesis).cast("long").alias("total")
-    )
-
-
-def bleu(pairs: DataFrame, keys: Sequence[str], hypothesis: str, reference: str) -> DataFrame:
+#: Words whose n-grams are counted at once.
+_WORDS_AT_ONCE = 1 << 18
+
+
+def _by_row(rows: pa.StructArray, stats: Callable[..., list[np.ndarray]], top: int) -> pa.ListArray:
+    """For each row stats(counts of each side) summed over the distinct n-grams of the row, for n from 1 to top."""
+    sides = rows.flatten()
+    sizes = np.stack([pc.list_value_length(s).to_numpy() for s in sides], axis=1).astype(np.int64)
+    out, first, ends = [], 0, np.cumsum(sizes.sum(axis=1))
+    while first < len(rows):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + _WORDS_AT_ONCE, side="right")))
+        some = slice(first, last)
+        out.append(_count_rows([s[some].flatten() for s in sides], sizes[some], stats, top))
+        first = last
+    flat = np.concatenate(out) if out else np.zeros((0, 1), np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+
+
+def _count_rows(words: list[pa.Array], sizes: np.ndarray, stats: Callable[..., list[np.ndarray]], top: int) -> np.ndarray:
+    n, k = sizes.shape
+    coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode()
+    word, many = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    row = np.concatenate([np.repeat(np.arange(n), sizes[:, s]) for s in range(k)])
+    side = np.repeat(np.arange(k), sizes.sum(axis=0))
+    text = row * k + side
+    # the number of an n-gram within its row: that of the n-gram one shorter, and the word after it
+    at, before, found = np.arange(len(word)), row, []
+    for length in range(1, top + 1):
+        if length > 1:
+            on = at + length - 1 < len(word)
+            at, before = at[on], before[on]
+            same = text[at] == text[at + length - 1]
+            at, before = at[same], before[same]
+        _, one, which = np.unique(before * many + word[at + length - 1], return_index=True, return_inverse=True)
+        counts = [np.bincount(which[side[at] == s], minlength=len(one)) for s in range(k)]
+        found += [np.bincount(row[at[one]], c, n).astype(np.int64) for c in stats(*counts)]
+        before = which
+    return np.stack(found, axis=1)
+
+
+def gram_stats(sides: Sequence[Column | str], stats: Callable[..., list[np.ndarray]], top: int = 4) -> Column:
+    """array<long>, for n from 1 to top the stats of the lower-cased n-grams of a row: each a sum over the distinct
+    n-grams of a function of their counts on the sides. A null side has no words. Everything stays within the row."""
+    words = [F.coalesce(word_array(F.lower(F.col(s) if isinstance(s, str) else s)), F.array().cast("array<string>")) for s in sides]
+
+    def run(rows: pa.Array) -> pa.Array:
+        return _by_row(rows, stats, top)
+
+    return F.arrow_udf(run, ArrayType(LongType()))(F.struct(*[w.alias(f"s{k}") for k, w in enumerate(words)]))
+
+
+def _bleu_stats(h: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+    return [np.minimum(h, r), h, r]
+
+
+def _sari_stats(s: np.ndarray, y: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+    keep, drop, new = np.minimum(s, y), np.maximum(s - y, 0), (y > 0) & (s == 0)
+    return [
+        new, new & (r > 0), (r > 0) & (s == 0), keep, np.minimum(keep, r), np.minimum(s, r),
+        drop, np.minimum(drop, np.maximum(s - r, 0)),
+    ]
+
+
+def bleu_counts(pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
+    """(n, matches, total): clipped n-gram matches of the corpus (Papineni et al., 2002). An n without n-grams on
+    either side has no row."""
+    ship(pairs.sparkSession)
+    each = pairs.select(gram_stats([hypothesis, reference], _bleu_stats).alias("g"))
+    sums = each.agg(*[F.sum(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(12)])
+    of = lambda n: {"matches": F.col(f"g{3 * n}"), "total": F.col(f"g{3 * n + 1}"), "__r": F.col(f"g{3 * n + 2}")}
+    rows = [F.struct(F.lit(n + 1).alias("n"), *[c.alias(k) for k, c in of(n).items()]) for n in range(4)]
+    return sums.select(F.inline(F.array(*rows))).where((F.col("total") > 0) | (F.col("__r") > 0)).drop("__r")
+
+
+def bleu(pairs: DataFrame, hypothesis: str, reference: str) -> DataFrame:
     """One row with bleu, 0 to 100; 0 where an order has no match."""
-    c = bleu_counts(pairs, keys, hypothesis, reference)
+    c = bleu_counts(pairs, hypothesis, reference)
     n = lambda s: F.sum(F.size(word_array(s))).cast("double")
     lengths = pairs.agg(n(hypothesis).alias("h"), n(reference).alias("r"))
-    score = c.agg(F.avg(F.ln(F.nullif(F.col("matches"), F.lit(0)) / F.col("total"))).alias("l"), F.min("matches").alias("least"), F.count(F.lit(1)).alias("k"))
+    score = c.agg(F.avg(F.ln(F.nullif(F.col("matches"), F.lit(0)) / F.nullif(F.col("total"), F.lit(0)))).alias("l"), F.min("matches").alias("least"), F.count(F.lit(1)).alias("k"))
     brevity = F.when(F.col("h") >= F.col("r"), F.lit(0.0)).otherwise(1 - F.col("r") / F.col("h"))
     value = F.when((F.col("k") == 4) & (F.col("least") > 0), 100 * F.exp(F.col("l") + brevity)).otherwise(F.lit(0.0))
     return score.crossJoin(F.broadcast(lengths)).select(value.alias("bleu"))
 
 
-def sari(rows: DataFrame, keys: Sequence[str], source: str, system: str, reference: str) -> DataFrame:
-    """keys and sari, 0 to 100: mean of the F1 of added and kept n-grams and the precision of deleted ones over n = 1
-    to 4 (Xu et al., 2016), for one reference. An undefined part counts as 0."""
-    c = gram_counts(rows, keys, [source, system, reference])
-    s, y, r = F.col(source), F.col(system), F.col(reference)
+def sari_parts(source: Column | str, system: Column | str, reference: Column | str) -> Column:
+    """struct<add, keep, delete>, 0 to 100 each: the F1 of added and of kept n-grams and the precision of deleted ones,
+    means over n = 1 to 4 (Xu et al., 2016), for one reference. An undefined part counts as 0."""
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     f1 = lambda p, q: F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(0.0))
-    flag = lambda cond: F.sum(cond.cast("long"))
-    keep, drop = F.least(s, y), F.greatest(s - y, F.lit(0))
-    per = c.groupBy(*keys, "n").agg(
-        flag((y > 0) & (s == 0)).alias("a"), flag((y > 0) & (s == 0) & (r > 0)).alias("ag"), flag((r > 0) & (s == 0)).alias("ar"),
-        F.sum(keep).alias("k"), F.sum(F.least(keep, r)).alias("kg"), F.sum(F.least(s, r)).alias("kr"),
-        F.sum(drop).alias("d"), F.sum(F.least(drop, F.greatest(s - r, F.lit(0)))).alias("dg"),
-    )
-    add = f1(share(F.col("ag"), F.col("a")), share(F.col("ag"), F.col("ar")))
-    kept = f1(share(F.col("kg"), F.col("k")), share(F.col("kg"), F.col("kr")))
-    part = (add + kept + share(F.col("dg"), F.col("d"))) / 3
-    return per.groupBy(*keys).agg((F.sum(part) / 4 * 100).alias("sari"))
+
+    def parts(g: Column) -> Column:
+        at = lambda n, i: F.get(g, F.lit(8 * n + i))
+        add = [f1(share(at(n, 1), at(n, 0)), share(at(n, 1), at(n, 2))) for n in range(4)]
+        keep = [f1(share(at(n, 4), at(n, 3)), share(at(n, 4), at(n, 5))) for n in range(4)]
+        drop = [share(at(n, 7), at(n, 6)) for n in range(4)]
+        mean = lambda x: (x[0] + x[1] + x[2] + x[3]) / 4 * 100
+        return F.struct(mean(add).alias("add"), mean(keep).alias("keep"), mean(drop).alias("delete"))
+
+    return bound(gram_stats([source, system, reference], _sari_stats), parts)
+
+
+def with_sari_parts(rows: DataFrame, source: str, system: str, reference: str, name: str = "sari_parts") -> DataFrame:
+    """The rows with a column of sari_parts."""
+    ship(rows.sparkSession)
+    return rows.withColumn(name, sari_parts(source, system, reference))
+
+
+def sari(rows: DataFrame, source: str, system: str, reference: str) -> DataFrame:
+    """The rows with sari, 0 to 100: the mean of the three parts. A row without any word gets 0."""
+    out = with_sari_parts(rows, source, system, reference, "__p")
+    return out.withColumn("sari", (F.col("__p.add") + F.col("__p.keep") + F.col("__p.delete")) / 3).drop("__p")
 
 
 def baselines(rows: DataFrame) -> DataFrame:

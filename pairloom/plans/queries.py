@@ -447,26 +447,49 @@ def _grams(c: str, side: str) -> str:
     )
 
 
-@query(f"""WITH {_PAIRS}, rows_ AS (SELECT * FROM pairs), g AS ({_grams('complex', 'r')} UNION ALL {_grams('simple', 'h')}),
-c AS (SELECT doc_id, pos, n, gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL)
-SELECT n, sum(least(h, r))::BIGINT AS matches, sum(h)::BIGINT AS total FROM c GROUP BY n""")
+_BLEU = f"""{_PAIRS}, rows_ AS (SELECT * FROM pairs), g AS ({_grams('complex', 'r')} UNION ALL {_grams('simple', 'h')}),
+c AS (SELECT doc_id, pos, n, gram, count(*) FILTER (side = 'h') AS h, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL),
+b AS (SELECT n, sum(least(h, r))::BIGINT AS matches, sum(h)::BIGINT AS total FROM c GROUP BY n)"""
+
+
+@query(f"WITH {_BLEU} SELECT n, matches, total FROM b")
 def bleu_counts(spark, d):
-    return metrics.bleu_counts(pairs.neighbor_pairs(_t(spark, d, "documents")), ["doc_id", "pos"], "simple", "complex")
+    return metrics.bleu_counts(pairs.neighbor_pairs(_t(spark, d, "documents")), "simple", "complex")
+
 
+@query(f"""WITH {_BLEU}, l AS (SELECT sum(len({_WORDS('simple')}))::DOUBLE AS h, sum(len({_WORDS('complex')}))::DOUBLE AS r FROM pairs)
+SELECT round(CASE WHEN (SELECT count(*) FROM b WHERE matches > 0) < 4 THEN 0 ELSE 100 * exp((SELECT avg(ln(matches / total)) FROM b WHERE matches > 0)
++ CASE WHEN h >= r THEN 0 ELSE 1 - r / h END) END, 6)::DOUBLE AS bleu FROM l""")
+def bleu(spark, d):
+    return metrics.bleu(pairs.neighbor_pairs(_t(spark, d, "documents")), "simple", "complex").withColumn("bleu", F.round("bleu", 6))
 
-@query(f"""WITH {_DOCS}, rows_ AS (SELECT doc_id, i::INTEGER AS pos, s[i] AS a, s[i + 1] AS b, s[i + 2] AS c FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM d)),
+
+_SARI = f"""{_DOCS}, rows_ AS (SELECT doc_id, i::INTEGER AS pos, s[i] AS a, s[i + 1] AS b, s[i + 2] AS c FROM (SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS i FROM d)),
 g AS ({_grams('a', 's')} UNION ALL {_grams('b', 'y')} UNION ALL {_grams('c', 'r')}),
 c AS (SELECT doc_id, pos, n, gram, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 'y') AS y, count(*) FILTER (side = 'r') AS r FROM g GROUP BY ALL),
 p AS (SELECT doc_id, pos, n, count(*) FILTER (y > 0 AND s = 0) AS a, count(*) FILTER (y > 0 AND s = 0 AND r > 0) AS ag, count(*) FILTER (r > 0 AND s = 0) AS ar,
 sum(least(s, y)) AS k, sum(least(s, y, r)) AS kg, sum(least(s, r)) AS kr, sum(greatest(s - y, 0)) AS d, sum(least(greatest(s - y, 0), greatest(s - r, 0))) AS dg FROM c GROUP BY ALL),
-q AS (SELECT *, coalesce(ag / nullif(a, 0), 0) AS p1, coalesce(ag / nullif(ar, 0), 0) AS r1, coalesce(kg / nullif(k, 0), 0) AS p2, coalesce(kg / nullif(kr, 0), 0) AS r2, coalesce(dg / nullif(d, 0), 0) AS p3 FROM p)
-SELECT doc_id, pos, round(sum((coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) + coalesce(2 * p2 * r2 / nullif(p2 + r2, 0), 0) + p3) / 3) / 4 * 100, 6) AS sari FROM q GROUP BY doc_id, pos""")
-def sari(spark, d):
+q AS (SELECT *, coalesce(ag / nullif(a, 0), 0) AS p1, coalesce(ag / nullif(ar, 0), 0) AS r1, coalesce(kg / nullif(k, 0), 0) AS p2, coalesce(kg / nullif(kr, 0), 0) AS r2, coalesce(dg / nullif(d, 0), 0) AS p3 FROM p),
+t AS (SELECT doc_id, pos, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, coalesce(2 * p2 * r2 / nullif(p2 + r2, 0), 0) AS f2, p3 FROM q)"""
+
+
+def _triples(spark, d):
     """A sentence as the source, the next as the output, the one after as the reference."""
     df = _t(spark, d, "documents").select("doc_id", text.sentence_array("text").alias("s"))
     three = F.transform(F.slice("s", 1, F.greatest(F.size("s") - 2, F.lit(0))), lambda x, i: F.struct((i + 1).alias("pos"), x.alias("source"), F.get("s", i + 1).alias("system"), F.get("s", i + 2).alias("reference")))
-    rows = df.select("doc_id", F.inline(three))
-    return metrics.sari(rows, ["doc_id", "pos"], "source", "system", "reference").withColumn("sari", F.round("sari", 6))
+    return df.select("doc_id", F.inline(three))
+
+
+@query(f"WITH {_SARI} SELECT doc_id, pos, round(sum((f1 + f2 + p3) / 3) / 4 * 100, 6) AS sari FROM t GROUP BY doc_id, pos")
+def sari(spark, d):
+    return metrics.sari(_triples(spark, d), "source", "system", "reference").select("doc_id", "pos", F.round("sari", 6).alias("sari"))
+
+
+@query(f"""WITH {_SARI} SELECT doc_id, pos, round(sum(f1) / 4 * 100, 6) AS "add", round(sum(f2) / 4 * 100, 6) AS keep, round(sum(p3) / 4 * 100, 6) AS "delete" FROM t GROUP BY doc_id, pos""")
+def sari_operations(spark, d):
+    """SARI by operation."""
+    out = metrics.with_sari_parts(_triples(spark, d), "source", "system", "reference", "p")
+    return out.select("doc_id", "pos", *[F.round(f"p.{c}", 6).alias(c) for c in ("add", "keep", "delete")])
 
 
 @query("SELECT source, md5(array_to_string(list_sort(list(md5(text))), '')) AS hash FROM documents GROUP BY source")
@@ -520,8 +543,7 @@ def baseline_sari(spark, d):
     )
     rows = df.select("doc_id", F.inline(three)).select(F.concat_ws(":", "doc_id", "pos").alias("row_id"), "complex", "simple")
     each = metrics.baselines(rows).select("baseline", "row_id", "complex", "prediction", F.explode("references").alias("reference"))
-    each = each.withColumn("ref_key", F.md5(F.col("reference").cast("binary")))
-    out = metrics.sari(each, ["baseline", "row_id", "ref_key"], "complex", "prediction", "reference")
+    out = metrics.sari(each, "complex", "prediction", "reference")
     return out.groupBy("baseline").agg(F.round(F.avg("sari"), 4).alias("sari"), F.count(F.lit(1)).alias("n"))
 
 
