@@ -38,7 +38,8 @@ def overlapping(a: Column, b: Column, share: float = 0.25) -> Column:
         low = F.floor(F.least(F.length(x), F.length(y)) * F.lit(share)).cast("int") + 1
         top = F.least(F.length(x) - 1, F.length(y))
         some = F.exists(F.sequence(low, top), lambda k: F.right(x, k) == F.left(y, k))
-        return F.when(F.length(y) == 0, F.length(x) > 0).when(low > top, F.lit(False)).otherwise(some)
+        # the least overlap is in both, so that few pairs have their lengths tried
+        return F.when(F.length(y) == 0, F.length(x) > 0).when((low > top) | ~F.contains(x, F.left(y, low)), F.lit(False)).otherwise(some)
 
     return one_way(a, b) | one_way(b, a)
 
