@@ -140,13 +140,13 @@ def whitespace_collapse(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", text.collapse_spaces("text").alias("text"))
 
 
-_ONE, _TO = "".join(text._LM_ONE), "".join({**text._LM_ONE, "１": "0"}.values()).replace("'", "''")
-_MANY = "regexp_replace(trim(text), '[0-9]', '0', 'g')"
-for _a, _b in text._LM_MANY.items():
-    _MANY = f"replace({_MANY}, '{_a}', '{_b}')"
+# The SQL states its own values: brackets and quotes by shape, then the rest.
+_LM = r"regexp_replace(regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\x{A0}]+|[\s\x0B\x1C-\x1F\x{85}\x{A0}]+$', '', 'g'), '\p{Nd}', '0', 'g')"
+for _class, _to in (("„“”«»《》「」", '"'), ("´’", "''"), ("，、", ","), ("。", "."), ("∶：", ":"), ("–━►", "-"), ("…", "..."), ("—", " - "), ("．", ". ")):
+    _LM = f"regexp_replace({_LM}, '[{_class}]', '{_to}', 'g')"
 
 
-@query(rf"SELECT doc_id, regexp_replace(translate({_MANY}, '{_ONE}', '{_TO}'), '[\x00-\x1F\x7F-\x{{9F}}]', '', 'g') AS text FROM documents")
+@query(rf"SELECT doc_id, regexp_replace(translate({_LM}, '？！（）；～〈〉【】％', '?!();~<>[]%'), '[\x00-\x1F\x7F-\x{{9F}}]', '', 'g') AS text FROM documents")
 def lm_normalize(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.lm_normalize("text").alias("text"))
 

@@ -94,6 +94,13 @@ def test_text_edges(spark):
     assert one(spark, text.unescape_brackets(F.col("t")), t="-LRB- x -rSb-") == "( x ]"
     assert one(spark, text.nfkc(F.col("t")), t="ﬁ ½") == "fi 1⁄2"
     assert one(spark, text.lm_normalize(F.col("t")), t=" Aé 12１…\x01 ") == "Aé 000..."
+    assert one(spark, text.lm_normalize(F.col("t")), t="\t\u00a0x\u0663\x1c\n") == "x0"
+    assert one(spark, text.lm_normalize(F.col("t")), t="a，b。c、d∶e：f") == "a,b.c,d:e:f"
+    assert one(spark, text.lm_normalize(F.col("t")), t="„a” “b” «c» 「d」 《e》 ´f’") == '"a" "b" "c" "d" "e" \'f\''
+    assert one(spark, text.lm_normalize(F.col("t")), t="？！（a）；～〈b〉【c】％") == "?!(a);~<b>[c]%"
+    assert one(spark, text.lm_normalize(F.col("t")), t="a–b—c━d►e．f…") == "a-b - c-d-e. f..."
+    assert one(spark, text.lm_normalize(F.col("t"), numbers=False), t="１2") == '"2'
+    assert one(spark, text.lm_normalize(F.col("t"), punctuation="remove"), t="a—b…c，１") == "abc0"
     assert one(spark, text.sentence_array(F.col("t")), t="") == []
     assert one(spark, text.window_array(text.sentence_array(F.col("t"))), t="") == []
 
