@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, LongType
 from pairloom._ship import ship
 from pairloom.functions.features import interval_text, t_quantile
 from pairloom.functions.text import bound, syllables, truncate, word_array
+from pairloom.operators.words import split_words
 
 
 def last_runs(runs: DataFrame, group: Sequence[str], order: str, keep: int = 5, whole: Sequence[int] = (8, 10)) -> DataFrame:
@@ -92,12 +93,13 @@ def _count_rows(words: list[pa.Array], sizes: np.ndarray, stats: Callable[..., l
 def gram_stats(sides: Sequence[Column | str], stats: Callable[..., list[np.ndarray]], top: int = 4) -> Column:
     """array<long>, for n from 1 to top the stats of the lower-cased n-grams of a row: each a sum over the distinct
     n-grams of a function of their counts on the sides. A null side has no words. Everything stays within the row."""
-    words = [F.coalesce(word_array(F.lower(F.col(s) if isinstance(s, str) else s)), F.array().cast("array<string>")) for s in sides]
+    texts = [F.coalesce(F.lower(F.col(s) if isinstance(s, str) else s), F.lit("")) for s in sides]
 
     def run(rows: pa.Array) -> pa.Array:
-        return _by_row(rows, stats, top)
+        words = [split_words(x) for x in rows.flatten()]
+        return _by_row(pa.StructArray.from_arrays(words, names=[f"s{k}" for k in range(len(words))]), stats, top)
 
-    return F.arrow_udf(run, ArrayType(LongType()))(F.struct(*[w.alias(f"s{k}") for k, w in enumerate(words)]))
+    return F.arrow_udf(run, ArrayType(LongType()))(F.struct(*[x.alias(f"s{k}") for k, x in enumerate(texts)]))
 
 
 def _bleu_stats(h: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
